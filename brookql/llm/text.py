@@ -119,7 +119,8 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool) -> None:
         self.data, self.offsets = data, offsets
-        inside = is_word[data]
+        folded = LOWER[data] if lower else data
+        inside = is_word[folded]
         n = len(data)
         first = inside.copy()
         last = inside.copy()
@@ -133,7 +134,7 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.rows = np.searchsorted(self.start, offsets)
-        self.hash = span_hash(prefix_hash(LOWER[data] if lower else data), self.start, self.end)
+        self.hash = span_hash(prefix_hash(folded), self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
