@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from brookql.llm import exchange as ex
 from brookql.llm.components import components
-from brookql.llm.text import SPACED, sequence_hash, words_of
+from brookql.llm.text import SPACED, distinct, sequence_hash, words_of
 
 CELLS = 8
 U64 = np.uint64
@@ -50,7 +50,7 @@ def shingle_sets(column, size: int):
         for r in range(hi - lo):
             a, b = w.rows[r], w.rows[r + 1]
             if b - a >= size:
-                yield np.unique(h[a : b - size + 1])
+                yield distinct(h[a : b - size + 1])
             else:
                 yield sequence_hash(w.hash[a:b], int(b - a)) if b > a else np.zeros(0, U64)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from brookql.llm import exchange as ex
-from brookql.llm.text import SPACED, covered_by_runs, row_runs, row_sums, words_of
+from brookql.llm.text import SPACED, covered_by_runs, distinct, row_runs, row_sums, words_of
 
 WINDOW = 13
 LAST = np.iinfo(np.int64).max
@@ -42,8 +42,8 @@ def _sorted(table: pa.Table, key: str) -> pa.Table:
 
 def _announcer(text: str, window: int, n: int):
     def run(table: pa.Table) -> pa.Table:
-        found = [np.unique(w.windows(window)[1]) for _, _, w in words_of(table.column(text), SPACED, False)]
-        hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        found = [w.windows(window)[1] for _, _, w in words_of(table.column(text), SPACED, False)]
+        hashes = distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
         return ex.announce(table.column("part")[0].as_py(), hashes, None, n)
 
     return run
@@ -71,26 +71,21 @@ def _parser(key: str, text: str, window: int, emit):
         docs = _sorted(docs, key)
         ids = _ids(docs, key)
         earlier = ex.answers(told)
-        # first id of each window within this block: ids ascend, so the first seen stays
+        # the least id of each window within this block: ids ascend, so a stable sort puts it first
         known_h, known_id = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        out = []
-        seen: list[tuple[int, int]] = []
-        local: list[tuple[np.ndarray, np.ndarray]] = []
+        found, whose = [known_h], [known_id]
         for lo, hi, w in words_of(docs.column(text), SPACED, False):
             at, h = w.windows(window)
-            own = ids[lo:hi][w.row_of[at]] if len(at) else np.zeros(0, np.int64)
-            h_sorted, first = np.unique(h, return_index=True)
-            local.append((h_sorted, own[first]))
-            seen.append((lo, hi))
-        if local:
-            h_all = np.concatenate([x for x, _ in local])
-            id_all = np.concatenate([x for _, x in local])
-            order = np.argsort(h_all, kind="stable")
-            h_all, id_all = h_all[order], id_all[order]
-            if len(h_all):
-                first = np.concatenate([[True], h_all[1:] != h_all[:-1]])
-                known_h, known_id = h_all[first], id_all[first]
-        del local
+            found.append(h)
+            whose.append(ids[lo:hi][w.row_of[at]])
+        h = np.concatenate(found)
+        if len(h):
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            first = np.concatenate([[True], h[1:] != h[:-1]])
+            known_h, known_id = h[first], np.concatenate(whose)[order[first]]
+        del found, whose, h
+        out = []
         for lo, hi, w in words_of(docs.column(text), SPACED, False):
             at, h = w.windows(window)
             row_of = w.row_of

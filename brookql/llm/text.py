@@ -17,7 +17,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; the numpy temporaries are about 60 times this.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:
@@ -200,6 +200,17 @@ def sequence_hash(word_hash: np.ndarray, size: int) -> np.ndarray:
     return _splitmix(done + U64(size))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; by sorting, which beats np.unique's hash table here."""
+    values = np.sort(values)
+    if len(values):
+        first = np.empty(len(values), bool)
+        first[0] = True
+        np.not_equal(values[1:], values[:-1], out=first[1:])
+        values = values[first]
+    return values
+
+
 def words_of(column, is_word: np.ndarray, lower: bool, limit: int = CHUNK_BYTES):
     """(lo, hi, Words) for consecutive row ranges of a string column."""
     data, offsets = utf8(column)
