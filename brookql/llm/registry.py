@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brookql.llm import decontaminate, jaccard_join, mixing, substring_dedup, suffix_dedup, toxicity
+from brookql.llm import decontaminate, jaccard_join, mixing, substring_dedup, suffix_dedup, toxicity, url_reputation
 
-MODULES = [mixing, suffix_dedup, decontaminate, substring_dedup, jaccard_join, toxicity]
+MODULES = [mixing, suffix_dedup, decontaminate, substring_dedup, jaccard_join, toxicity, url_reputation]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
