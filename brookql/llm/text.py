@@ -85,12 +85,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
-    """Row ranges (lo, hi) of at most `limit` bytes, or one row."""
+def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES, rows: int = 8192):
+    """Row ranges (lo, hi) of at most `rows` rows and `limit` bytes, or one row."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, lo + rows, max(hi, lo + 1))
         yield lo, hi
         lo = hi
 
