@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Parts and buckets per shuffle partition: small blocks even out the tasks.
 BLOCKS_PER_PARTITION = 2
+#: Frees a query's shuffle files as it ends; what it wrote no longer needs them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BLOB_SCHEMA = "bucket int, part int, blob binary"
 ANSWER_SCHEMA = "part int, blob binary"
 
@@ -44,7 +46,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends at files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

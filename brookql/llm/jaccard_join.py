@@ -192,6 +192,7 @@ class JaccardJoin:
         key = self.key
         named = components(self.links).select(F.col("node").alias("rep"), "component")
         classes = self.reps.join(named, "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
+        classes = stored(classes)  # both sides of the next join are plain exchanges, so a hot class can be split
         # a document id may stand on several rows: its component is the least of its rows'
         found = self.full.select(key, "class").join(classes, "class").groupBy(key).agg(F.min("component").alias("component"))
         return self.settled.join(found, key, "left").select(key, "n_shingles", F.coalesce("component", key).alias("component_id"))

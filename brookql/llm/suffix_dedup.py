@@ -44,6 +44,8 @@ U64 = np.uint64
 LENGTH, SEED = 100, 32
 CHUNK = 1 << 18
 PLACE_BITS = 20
+#: Suffixes searched for repeated windows at once; a single group may hold more.
+BATCH = 2000
 LAST = np.iinfo(np.int64).max
 RUN_SCHEMA = "bucket int, part int, resolved boolean, blob binary"
 
@@ -303,7 +305,7 @@ def _merger(length: int, seed: int):
             if shared < seed:
                 if len(group) > 1:
                     batch += group
-                    if len(batch) > 20_000:
+                    if len(batch) > BATCH:
                         answers += _repeated(batch, fields, parts, turn, length)
                         batch = []
                 group = []
