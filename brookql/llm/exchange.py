@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Parts and buckets per shuffle partition: small blocks even out the tasks.
 BLOCKS_PER_PARTITION = 2
-#: Frees a query's shuffle files as it ends; what it wrote no longer needs them.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: a query's shuffle files go as it ends, for what it wrote no longer
+#: needs them, and texts reach Python in smaller batches.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 BLOB_SCHEMA = "bucket int, part int, blob binary"
 ANSWER_SCHEMA = "part int, blob binary"
 
@@ -46,12 +47,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends at files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from brookql.llm import exchange as ex
 from brookql.llm.components import components
-from brookql.llm.text import SPACED, distinct, sequence_hash, words_of
+from brookql.llm.text import SPACED, distinct, lean, sequence_hash, words_of
 
 CELLS = 8
 U64 = np.uint64
@@ -152,7 +152,7 @@ def _verify(num: int, den: int):
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta")), "a")
     with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb")), "b")
-    return with_b.mapInArrow(_verify(num, den), "a long, b long")
+    return with_b.mapInArrow(lean(_verify(num, den)), "a long, b long")
 
 
 class JaccardJoin:
@@ -166,16 +166,16 @@ class JaccardJoin:
         n = ex.block_count(docs.sparkSession)
         self.key = key
         dealt = ex.grouped(ex.blocks(docs, key, n, [text]), n)
-        spoken = dealt.groupBy("part").applyInArrow(_announcer(text, size, n), ex.BLOB_SCHEMA)
-        told = spoken.groupBy("bucket").applyInArrow(ex.answer_totals, ex.ANSWER_SCHEMA)
-        settled = dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_settler(key, text, size, num, den), f"`{key}` long, n_shingles long, n_unique long, class binary, toks binary")
+        spoken = dealt.groupBy("part").applyInArrow(lean(_announcer(text, size, n)), ex.BLOB_SCHEMA)
+        told = spoken.groupBy("bucket").applyInArrow(lean(ex.answer_totals), ex.ANSWER_SCHEMA)
+        settled = dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(lean(_settler(key, text, size, num, den)), f"`{key}` long, n_shingles long, n_unique long, class binary, toks binary")
         settled = stored(settled)
         full = settled.where((F.col("n_shingles") > 0) & F.col(key).isNotNull())
         reps = full.groupBy("class").agg(F.min(key).alias("rep"))
         alive = full.where(F.col("toks").isNotNull())
         sets = alive.join(reps.select(F.col("rep").alias(key)).distinct(), key, "left_semi")
         sets = stored(sets.select(F.col(key).alias("id"), F.col("n_shingles").alias("n"), F.col("n_unique").alias("u"), "toks").dropDuplicates(["id"]))
-        rows = stored(sets.mapInArrow(_prefixes(num, den), "h long, id long, n int, place int, rest int, cells array<int>"))
+        rows = stored(sets.mapInArrow(lean(_prefixes(num, den)), "h long, id long, n int, place int, rest int, cells array<int>"))
         hubs = rows.groupBy("h").agg(F.min(F.struct("place", "id", "n", "rest", "cells")).alias("hub"), F.count("*").alias("holders")).where("holders > 1")
         hubs = stored(hubs.select("h", "hub.id", "hub.n", "hub.place", "hub.rest", "hub.cells"))
         first = stored(_links(_joined(rows, hubs, num, den, "x.id != y.id"), sets, num, den))
