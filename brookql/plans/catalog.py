@@ -112,7 +112,10 @@ class Source:
             out.append(c.alias(d.name))
         # undeclared columns stay
         out += [quoted(c) for c in have.values()]
-        return df.select(*out) if self.columns else df, errors
+        if errors:
+            # judged on the values as they came
+            out.append(F.coalesce(*errors).alias("__bad"))
+        return df.select(*out) if self.columns else df, [F.col("__bad")] if errors else []
 
     def frame(self, strict: bool = False) -> tuple[DataFrame, list]:
         """Coerced rows with times in milliseconds, __ts and __seq, and the rows' error columns."""

@@ -116,7 +116,7 @@ class Planner:
     def _sources(self, sel: A.Select):
         source = self.catalog[sel.source]
         df, bad = source.frame(bool(self.options.get("strict_schema")))
-        df = self._sound(df, bad, sel.source)
+        df = self._sound(df, bad, sel.source).drop("__bad")
         if not sel.joins:
             return df, [(sel.alias, {c: c for c in df.columns if c not in ("__ts", "__seq")})], False
         df, columns = joins.named(df, sel.alias)
@@ -131,7 +131,7 @@ class Planner:
             df = windows.assign(df, replace(sel.window, filter=None), None, None)
         for j in sel.joins:
             other = self.catalog[j.table]
-            rows, bad = other.frame()
+            rows, _ = other.frame()
             if other.table:
                 df, right = joins.join_table(df, sources, rows, j, self.options, self.udfs, windowed)
             else:
