@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from brookql.llm.text import utf8
+from brookql.llm.text import lean, utf8
 
 RATE, UP, DOWN, TAPS = 16_000, 1, 2, 24
 FRAME, HOP, BANDS, BINS = 256, 128, 20, 16
@@ -165,7 +165,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                     yield pa.RecordBatch.from_arrays([batch.column(key).slice(i + 1 - len(media), len(media)), pa.array(size, pa.int64()), pa.array(media, pa.binary())], names=[key, "n_bytes", "media"])
                     size, media = [], []
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` long, {STORED}")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` long, {STORED}")
 
 
 def tensor_type() -> pa.DataType:
@@ -187,7 +187,7 @@ def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
             column = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(tensors) if tensors else np.zeros(0, np.float32)), BINS * BANDS))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "n_bytes", "media")), column.storage.cast(pa.list_(pa.float32())), pa.array(spans, pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())])))], names=[key, "n_bytes", "media", "tensor", "spans"])
 
-    return media.mapInArrow(run, f"`{key}` long, {FEATURES}")
+    return media.mapInArrow(lean(run), f"`{key}` long, {FEATURES}")
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,7 +212,7 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_segments long")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_segments long")
 
 
 def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:

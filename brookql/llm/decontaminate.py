@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookql.llm import exchange as ex
-from brookql.llm.text import ALNUM, covered, row_sums, words_of
+from brookql.llm.text import ALNUM, covered, lean, row_sums, words_of
 
 U64 = np.uint64
 WINDOW = 13
@@ -65,7 +65,7 @@ def _indexer(key: str, text: str):
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Store the positional index of docs and return it, a row a block."""
-    return ex.stored(docs.select(key, text).mapInArrow(_indexer(key, text), INDEX_SCHEMA), "postings")
+    return ex.stored(docs.select(key, text).mapInArrow(lean(_indexer(key, text)), INDEX_SCHEMA), "postings")
 
 
 class Phrases:
@@ -193,7 +193,7 @@ def phrase_batches(items: DataFrame, key: str, text: str, window: int, limit: in
 def search(index: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
     """A row a document: n_words, n_hit, n_items, items_sha256, contaminated."""
     ddl = f"`{key}` long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return index.mapInArrow(_searcher(phrase_batches(items, item_key, item_text, window), slop, _digest(key)), ddl)
+    return index.mapInArrow(lean(_searcher(phrase_batches(items, item_key, item_text, window), slop, _digest(key))), ddl)
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookql.llm.linear import Sparse, folds, logistic, sigmoid
-from brookql.llm.text import SPACED, Words, chunks, prefix_hash, row_sums, span_hash, utf8
+from brookql.llm.text import SPACED, Words, chunks, lean, prefix_hash, row_sums, span_hash, utf8
 
 U64 = np.uint64
 SAMPLE = 4000
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 t, m = _views(batch, lo, hi, data[a:b], offsets[lo : hi + 1] - a, source, lang, chars)
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), pa.array([r.tobytes() for r in t], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], names=["id", "y", "t", "m"])
 
-    got = rows.mapInArrow(featured, "id long, y int, t binary, m binary").toArrow()
+    got = rows.mapInArrow(lean(featured), "id long, y int, t binary, m binary").toArrow()
     ids, y = got.column("id").to_numpy(), got.column("y").to_numpy()
     xs = [np.frombuffer(b"".join(v.as_py() for v in got.column(c)), np.float32).reshape(len(y), -1) if len(y) else np.zeros((0, 1), np.float32) for c in ("t", "m")]
     turn = np.lexsort([xs[0][:, 0], ids]) if len(y) else np.zeros(0, np.int64)
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 p, q = model.scores(_views(batch, lo, hi, data[a:b], offsets[lo : hi + 1] - a, source, lang, chars))
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), pa.array(p[:, 0].astype(float)), pa.array(p[:, 1].astype(float)), pa.array(q.astype(float)), pa.array(q >= threshold if model.views else np.ones(hi - lo, bool))], names=[key, "p_text", "p_meta", "quality", "keep"])
 
-    return docs.select(key, text, source, lang, chars).mapInArrow(run, f"`{key}` long, p_text double, p_meta double, quality double, keep boolean")
+    return docs.select(key, text, source, lang, chars).mapInArrow(lean(run), f"`{key}` long, p_text double, p_meta double, quality double, keep boolean")
 
 
 def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

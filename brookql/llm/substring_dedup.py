@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from brookql.llm import exchange as ex
-from brookql.llm.text import SPACED, covered_by_runs, distinct, row_runs, row_sums, words_of
+from brookql.llm.text import SPACED, covered_by_runs, distinct, lean, row_runs, row_sums, words_of
 
 WINDOW = 13
 LAST = np.iinfo(np.int64).max
@@ -157,9 +157,9 @@ def parse(docs: DataFrame, emit, key: str = "doc_id", text: str = "text", column
     """Parse every document against all with smaller ids; `emit` makes the rows."""
     n = ex.block_count(docs.sparkSession)
     dealt = ex.grouped(ex.blocks(docs, key, n, columns or [text]), n)
-    spoken = dealt.groupBy("part").applyInArrow(_announcer(text, window, n), ex.BLOB_SCHEMA)
-    told = spoken.groupBy("bucket").applyInArrow(ex.answer_later, ex.ANSWER_SCHEMA)
-    return dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_parser(key, text, window, emit), emit.ddl)
+    spoken = dealt.groupBy("part").applyInArrow(lean(_announcer(text, window, n)), ex.BLOB_SCHEMA)
+    told = spoken.groupBy("bucket").applyInArrow(lean(ex.answer_later), ex.ANSWER_SCHEMA)
+    return dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(lean(_parser(key, text, window, emit)), emit.ddl)
 
 
 def duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

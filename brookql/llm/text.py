@@ -10,7 +10,10 @@ and in every process, because all constants come from a fixed generator.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
+import inspect
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,44 @@ U64 = np.uint64
 CHUNK_BYTES = 1 << 18
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # no glibc
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: idle Python workers are kept, and would hold it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def lean(f):
+    """f, a function for mapInArrow or applyInArrow, that gives memory back when it is done."""
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def run(batches):
+            try:
+                yield from f(batches)
+            finally:
+                release()
+
+        return run
+
+    @functools.wraps(f)
+    def call(*tables):
+        try:
+            return f(*tables)
+        finally:
+            release()
+
+    # Spark looks at the signature to tell how a function wants its group
+    call.__signature__ = inspect.signature(f)
+    return call
+
+
 def _splitmix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 output bits."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -75,12 +116,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    column = column.cast(pa.large_string()).fill_null("")
+    if column.null_count:
+        column = column.fill_null("")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    offsets = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookql.llm.linear import Sparse, folds, logistic, sigmoid
-from brookql.llm.text import ALNUM, LOWER, distinct, prefix_hash, span_hash, words_of
+from brookql.llm.text import ALNUM, LOWER, distinct, lean, prefix_hash, span_hash, words_of
 
 U64 = np.uint64
 SAMPLE = 10_000
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Model(np.zeros(0, U64), [], float(n1 > 0 and n0 == 0) if n1 + n0 else 0.0)
-    counted = train.mapInArrow(_counter(text), "h long, whole boolean, pos long, neg long").groupBy("h").agg(F.max("whole").alias("whole"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = train.mapInArrow(lean(_counter(text)), "h long, whole boolean, pos long, neg long").groupBy("h").agg(F.max("whole").alias("whole"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counted = counted.where(F.col("pos") * n0 > 4 * F.col("neg") * n1).where("pos >= 3")
     tried = max(2, counted.count())
     best = counted.orderBy(F.desc(F.col("pos") * n0 / (F.col("neg") + 1)), F.desc("pos"), "h").limit(8 * VOCABULARY).toPandas()
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 rows = [x.column[x.bounds[r] : x.bounds[r + 1]].tolist() for r in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), pa.array(rows, pa.list_(pa.int32()))], names=["id", "y", "found"])
 
-    got = train.mapInArrow(matched, "id long, y int, found array<int>").toPandas().sort_values(["id", "y"])
+    got = train.mapInArrow(lean(matched), "id long, y int, found array<int>").toPandas().sort_values(["id", "y"])
     x = Sparse.of([np.asarray(f, np.int64) for f in got["found"]], len(h))
     y = got["y"].to_numpy(float)
     term = y * (x.dot(whole.astype(float)) > 0)
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 columns = [batch.column(key).slice(lo, hi - lo).cast(pa.int64()), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(p[:, -1] >= threshold if model.chain else np.zeros(hi - lo, bool))]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, *[f"p_{c}" for c in CATEGORIES], "toxic"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -188,7 +188,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
                 ok = model.probabilities(x)[:, -1] < threshold if model.chain else np.ones(hi - lo, bool)
                 yield batch.slice(lo, hi - lo).filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
