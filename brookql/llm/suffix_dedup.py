@@ -21,6 +21,11 @@ sort:
    that occurred earlier in (document, position) order; runs of those, as intervals,
    go back to the documents' blocks.
 
+An anchor with more than `HOT` occurrences (a line that a third of all documents share)
+would make a group without bound.  Its windows take part by their own hashes instead:
+each block announces its distinct ones, spread over all buckets, and learns which
+occur in an earlier block (exchange.py).  Both ways give the same answer for a window.
+
 Defined results: null texts are empty; a text shorter than a window loses nothing;
 matches never cross documents.  Documents without an id come last; rows of equal id
 count as documents in the order of their texts.  Bytes are cut wherever windows say,
@@ -38,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from brookql.llm import exchange as ex
-from brookql.llm.text import _powers, _splitmix, covered, prefix_hash, row_runs, row_sums, utf8
+from brookql.llm.text import _powers, _splitmix, covered, lean, prefix_hash, row_runs, row_sums, utf8
 
 U64 = np.uint64
 LENGTH, SEED = 100, 32
@@ -47,7 +52,12 @@ PLACE_BITS = 20
 #: Suffixes searched for repeated windows at once; a single group may hold more.
 BATCH = 2000
 LAST = np.iinfo(np.int64).max
-RUN_SCHEMA = "bucket int, part int, resolved boolean, blob binary"
+#: Occurrences beyond which an anchor's windows are looked up one by one.
+HOT = 2000
+#: What a blob holds.
+RUN, CUTS, HASHES = 0, 1, 2
+RUN_SCHEMA = "bucket int, part int, kind int, blob binary"
+CUT_SCHEMA = "part int, kind int, blob binary"
 
 
 def pieces(offsets: np.ndarray, length: int):
@@ -96,7 +106,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, seed: int):
         return np.zeros(0, U64), none, none, none
     first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)]))
     last = np.append(first[1:], len(start)) - 1
-    return h[place[first]], place[first], start[first], start[last]
+    # anchors are least hashes, so they crowd the low end; hashed again, they fill all buckets alike
+    return _splitmix(h[place[first]] * U64(0x9FB21C651E98DF25)), place[first], start[first], start[last]
 
 
 def _ordered(table: pa.Table, key: str, text: str) -> pa.Table:
@@ -219,34 +230,70 @@ def merge(runs: list[Run]):
             node //= 2
 
 
-def _sorter(key: str, text: str, length: int, seed: int, n: int):
-    """A block's runs of repeated suffixes, and the intervals that are settled within the block."""
+def window_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int):
+    """(start, hash) of the windows lo, ..., hi of each range, some ranges at a time."""
+    for a in range(0, len(lo), 2048):
+        first, size = lo[a : a + 2048], (hi - lo)[a : a + 2048] + length
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
+        p = prefix_hash(data[at])
+        _, down = _powers.get(len(p))
+        h = _splitmix((p[length:] - p[:-length]) * down[: len(p) - length])
+        ok = np.arange(len(h)) + length <= np.repeat(ends, size)[: len(h)]
+        yield at[: len(h)][ok], h[ok]
+
+
+def intervals(start: np.ndarray, length: int, offsets: np.ndarray) -> np.ndarray:
+    """(row, begin, end) of the runs of sorted window starts."""
+    row = np.searchsorted(offsets, start, side="right") - 1
+    first = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1] + 1) | (row[1:] != row[:-1])])) if len(start) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(start))[: len(first)] - 1
+    base = offsets[row[first]]
+    return np.stack([row[first], start[first] - base, start[last] + length - base], axis=1).astype("<i8")
+
+
+def _sorter(key: str, text: str, length: int, seed: int, n: int, hot: int):
+    """A block's runs of repeated suffixes, its windows about hot anchors, and the cuts that are settled within it."""
     width = 2 * length - seed
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, bool, bytes]] = []
+        out: list[tuple[int, int, int, bytes]] = []
         if docs.num_rows:
             part = docs.column("part")[0].as_py()
             data, offsets = utf8(_ordered(docs, key, text).column(text))
-            far = ex.answers(told, totals=True)[0]
             found = []
-            for row, b in pieces(offsets, length):
+            for _, b in pieces(offsets, length):
                 h, place, lo, hi = anchors(data, b, length, seed)
                 found.append((h, place + b[0], lo + b[0], hi + b[0]))
             h, place, lo, hi = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
-            local_h, local_c = ex.distinct_counts(h)
-            again = ex.member(h, far)[0]
-            if len(h):
-                again |= local_c[np.searchsorted(local_h, h)] > 1
-            h, place, lo, hi = h[again], place[again], lo[again], hi[again]
-            if len(h):
-                out += _block_runs(data, offsets, part, h, place, lo, hi, length, width, n)
-        b, p, r, x = zip(*out) if out else ((), (), (), ())
-        return pa.table({"bucket": pa.array(b, pa.int32()), "part": pa.array(p, pa.int32()), "resolved": pa.array(r, pa.bool_()), "blob": pa.array(x, pa.binary())})
+            own, total = ex.distinct_counts(h)
+            far, far_total = ex.answers(told, totals=True)
+            hit, at = ex.member(far, own)
+            total[at[hit]] = far_total[hit]
+            total = total[np.searchsorted(own, h)]
+            again, many = (total > 1) & (total <= hot), total > hot
+            if many.any():
+                out += _hot_windows(data, offsets, part, lo[many], hi[many], length, n)
+            if again.any():
+                out += _block_runs(data, offsets, part, h[again], place[again], lo[again], hi[again], length, width, n)
+        b, p, k, x = zip(*out) if out else ((), (), (), ())
+        return pa.table({"bucket": pa.array(b, pa.int32()), "part": pa.array(p, pa.int32()), "kind": pa.array(k, pa.int32()), "blob": pa.array(x, pa.binary())})
 
     return run
 
 
+def _hot_windows(data, offsets, part, lo, hi, length, n):
+    found = list(window_hashes(data, lo, hi, length))
+    start, h = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort([start, h])
+    start, h = start[order], h[order]
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    again = np.sort(start[~first])
+    out = [(part % n, part, CUTS, intervals(again, length, offsets).tobytes())] if len(again) else []
+    told = ex.announce(part, h[first], None, n)
+    return out + [(b, part, HASHES, x) for b, x in zip(told.column("bucket").to_pylist(), told.column("blob").to_pylist())]
+
+
 def _block_runs(data, offsets, part, h, place, lo, hi, length, width, n):
     end = hi + length
     # equal stretches about equal anchors travel once: the first stands for the rest
@@ -268,7 +315,7 @@ def _block_runs(data, offsets, part, h, place, lo, hi, length, width, n):
     if not fresh.all():
         gone = ~fresh
         blob = np.stack([row[gone], (lo - base)[gone], (end - base)[gone]], axis=1).astype("<i8").tobytes()
-        out.append((part % n, part, True, blob))
+        out.append((part % n, part, CUTS, blob))
     h, place, lo, end, row, base = h[fresh], place[fresh], lo[fresh], end[fresh], row[fresh], base[fresh]
     bucket_order = np.argsort(h, kind="stable")
     cut = ex.split(h[bucket_order], n)
@@ -282,16 +329,18 @@ def _block_runs(data, offsets, part, h, place, lo, hi, length, width, n):
         left_size = place[mine] - lo[mine]
         first = np.cumsum(left_size) - left_size
         left = data[np.arange(left_size.sum()) + np.repeat(lo[mine] - first, left_size)]
-        out.append((int(bucket), part, False, encode_run(mat, size, left, left_size, row[mine], place[mine] - base[mine])))
+        out.append((int(bucket), part, RUN, encode_run(mat, size, left, left_size, row[mine], place[mine] - base[mine])))
     return out
 
 
 def _merger(length: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
-        parts, resolved = table.column("part").to_pylist(), table.column("resolved").to_pylist()
+        parts, kinds = table.column("part").to_pylist(), table.column("kind").to_pylist()
         blobs = [b.as_py() for b in table.column("blob")]
-        answers: list[tuple[int, bytes]] = [(p, b) for p, r, b in zip(parts, resolved, blobs) if r]
-        turn = sorted((i for i, r in enumerate(resolved) if not r), key=lambda i: parts[i])
+        answers: list[tuple[int, bytes]] = [(p, b) for p, k, b in zip(parts, kinds, blobs) if k == CUTS]
+        hashes = table.filter(pc.equal(table.column("kind"), HASHES))
+        later = ex.answer_later(hashes) if hashes.num_rows else None
+        turn = sorted((i for i, k in enumerate(kinds) if k == RUN), key=lambda i: parts[i])
         runs, fields = [], []
         for i in turn:
             lcp, size, left_size, row, place, tail, left = decode_run(blobs[i])
@@ -313,7 +362,10 @@ def _merger(length: int, seed: int):
         if len(group) > 1:
             batch += group
         answers += _repeated(batch, fields, parts, turn, length)
-        return pa.table({"part": pa.array([p for p, _ in answers], pa.int32()), "blob": pa.array([b for _, b in answers], pa.binary())})
+        found = pa.table({"part": pa.array([p for p, _ in answers], pa.int32()), "kind": pa.array([CUTS] * len(answers), pa.int32()), "blob": pa.array([b for _, b in answers], pa.binary())})
+        if later is not None:
+            found = pa.concat_tables([found, later.add_column(1, "kind", pa.array([HASHES] * later.num_rows, pa.int32()))])
+        return found
 
     return run
 
@@ -328,21 +380,22 @@ def _repeated(group, fields, parts, turn, length: int) -> list[tuple[int, bytes]
     place = np.array([fields[a][3][b] for a, b, _ in group], np.int64)
     left_size = np.array([fields[a][1][b] for a, b, _ in group], np.int64)
     order = np.lexsort([place, row, r])
-    texts = []
-    for k in order:
-        a, b, head = group[k]
-        left, at = fields[a][4], fields[a][5]
-        texts.append(left[at[b] : at[b + 1]] + head)
-    size = np.array([len(t) for t in texts])
+    size = np.array([int(fields[a][1][b]) + len(head) for a, b, head in group], np.int64)[order]
     bounds = np.concatenate([[0], np.cumsum(size)])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    p = prefix_hash(data)
-    _, down = _powers.get(len(p))
-    h = _splitmix((p[length:] - p[:-length]) * down[: len(p) - length])
-    at = np.arange(len(h))
-    owner = np.repeat(np.arange(len(size)), size)[: len(h)]
-    ok = at + length <= bounds[owner + 1]
-    at, owner, h = at[ok], owner[ok], h[ok]
+    starts, hashes = [], []
+    for c in range(0, len(order), BATCH):
+        texts = []
+        for k in order[c : c + BATCH]:
+            a, b, head = group[k]
+            left, at = fields[a][4], fields[a][5]
+            texts.append(left[at[b] : at[b + 1]] + head)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        own = bounds[c : c + len(texts) + 1] - bounds[c]
+        for start, h in window_hashes(data, own[:-1], own[1:] - length, length):
+            starts.append(start + bounds[c])
+            hashes.append(h)
+    at, h = np.concatenate(starts), np.concatenate(hashes)
+    owner = np.searchsorted(bounds, at, side="right") - 1
     by = np.argsort(h, kind="stable")
     first = np.concatenate([[True], h[by][1:] != h[by][:-1]])
     again = np.zeros(len(h), bool)
@@ -362,13 +415,20 @@ def _repeated(group, fields, parts, turn, length: int) -> list[tuple[int, bytes]
     return out
 
 
-def _cutter(key: str, text: str, emit):
+def _cutter(key: str, text: str, length: int, emit):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if docs.num_rows == 0:
             return emit(docs, np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool))
         docs = _ordered(docs, key, text)
         data, offsets = utf8(docs.column(text))
-        blobs = [np.frombuffer(b.as_py(), "<i8").reshape(-1, 3) for b in told.column("blob")]
+        kinds = told.column("kind").to_pylist()
+        blobs = [np.frombuffer(b.as_py(), "<i8").reshape(-1, 3) for k, b in zip(kinds, told.column("blob")) if k == CUTS]
+        earlier = ex.answers(told.filter(pc.equal(told.column("kind"), HASHES)))
+        if len(earlier):
+            for _, b in pieces(offsets, length):
+                enough = np.diff(b) >= length
+                for start, h in window_hashes(data, b[:-1][enough], b[1:][enough] - length, length):
+                    blobs.append(intervals(start[ex.member(h, earlier)[0]], length, offsets))
         cut = np.concatenate(blobs) if blobs else np.zeros((0, 3), np.int64)
         base = offsets[cut[:, 0]]
         return emit(docs, data, offsets, covered(len(data), base + cut[:, 1], base + cut[:, 2]))
@@ -406,20 +466,20 @@ def _cleaned(text: str):
     return emit
 
 
-def _removed(docs: DataFrame, key: str, text: str, columns: list[str], length: int, seed: int, emit, ddl: str) -> DataFrame:
+def _removed(docs: DataFrame, key: str, text: str, columns: list[str], length: int, seed: int, emit, ddl: str, hot: int = HOT) -> DataFrame:
     n = ex.block_count(docs.sparkSession)
     dealt = ex.grouped(ex.blocks(docs, key, n, columns), n)
-    spoken = dealt.groupBy("part").applyInArrow(_announcer(text, length, seed, n), ex.BLOB_SCHEMA)
-    told = spoken.groupBy("bucket").applyInArrow(ex.answer_totals, ex.ANSWER_SCHEMA)
-    runs = dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_sorter(key, text, length, seed, n), RUN_SCHEMA)
-    cuts = runs.groupBy("bucket").applyInArrow(_merger(length, seed), ex.ANSWER_SCHEMA)
-    return dealt.groupBy("part").cogroup(cuts.groupBy("part")).applyInArrow(_cutter(key, text, emit), ddl)
+    spoken = dealt.groupBy("part").applyInArrow(lean(_announcer(text, length, seed, n)), ex.BLOB_SCHEMA)
+    told = spoken.groupBy("bucket").applyInArrow(lean(ex.answer_totals), ex.ANSWER_SCHEMA)
+    runs = dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(lean(_sorter(key, text, length, seed, n, hot)), RUN_SCHEMA)
+    cuts = runs.groupBy("bucket").applyInArrow(lean(_merger(length, seed)), CUT_SCHEMA)
+    return dealt.groupBy("part").cogroup(cuts.groupBy("part")).applyInArrow(lean(_cutter(key, text, length, emit)), ddl)
 
 
-def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """A row a document: n_bytes, n_removed, n_spans, kept_sha256."""
     ddl = f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _removed(docs, key, text, [text], length, seed, _digest(key), ddl)
+    return _removed(docs, key, text, [text], length, seed, _digest(key), ddl, hot)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
