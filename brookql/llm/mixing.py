@@ -18,7 +18,8 @@ Defined results: rows of a null source form a source of their own, which takes t
 weight given for None, else the default weight.  Documents with equal ids, or none,
 share one draw.  Sources of weight 0 vanish; an empty table stays empty.  A source
 whose weight is listed but that has no documents counts for nothing: the weights of
-present sources are rescaled.  Extra columns stay as they are.
+present sources are rescaled.  Extra columns stay as they are, but for one named
+`copy`, which becomes `copy_in`.
 """
 
 from __future__ import annotations
@@ -68,16 +69,18 @@ def hashed_uniform(*parts):
 
 def mix(docs: DataFrame, weights: dict | None = None, default: float = 1.0, total: float | None = None, seed: int = SEED, key: str = "doc_id", source: str = "source") -> DataFrame:
     """docs' columns and `copy` (1, 2, ...), a row a copy, in shuffled order."""
+    if "copy" in docs.columns:
+        docs = docs.withColumnRenamed("copy", "copy_in")
     rates = source_rates(docs, weights, default, total, source)
-    rates = rates.select(F.col("source").alias("_rate_source"), poisson_cdf(F.col("rate")).alias("_cdf"))
+    rates = rates.select(F.col("source").alias("__mix_source"), poisson_cdf(F.col("rate")).alias("__mix_cdf"))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    drawn = docs.join(rates, docs[source].eqNullSafe(rates["_rate_source"]))
-    drawn = drawn.withColumn("_u", hashed_uniform(F.lit(seed), F.col(key)))
-    drawn = drawn.withColumn("_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).where("_copies > 0")
-    copies = drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    drawn = docs.join(rates, docs[source].eqNullSafe(rates["__mix_source"]))
+    drawn = drawn.withColumn("__mix_u", hashed_uniform(F.lit(seed), F.col(key)))
+    drawn = drawn.withColumn("__mix_n", F.size(F.filter("__mix_cdf", lambda c: c <= F.col("__mix_u")))).where("__mix_n > 0")
+    copies = drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__mix_n"))).alias("copy"))
     place = F.xxhash64(F.lit(seed), F.col(key), F.col("copy"))
-    return copies.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place", key, "copy").drop("_place")
+    return copies.withColumn("__mix_place", place).repartition("__mix_place").sortWithinPartitions("__mix_place", key, "copy").drop("__mix_place")
 
 
 #: Weights of the query: four times the standard weight for one source, half of it for another.
