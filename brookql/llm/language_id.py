@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brookql.llm.linear import hinge, sigmoid
-from brookql.llm.text import LOWER, chunks, row_sums, utf8
+from brookql.llm.text import LOWER, chunks, lean, row_sums, utf8
 
 U64 = np.uint64
 WIDTH = 1 << 11
@@ -119,8 +119,12 @@ def held_out(key):
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", families: dict[str, str] | None = None, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from at most per_language texts of each language."""
-    known = docs.where(F.col(lang).isNotNull() & ~held_out(key) & (F.length(text) > 0))
+    known = docs.select(key, text, lang).where(F.col(lang).isNotNull() & ~held_out(key) & (F.length(text) > 0))
     order = Window.partitionBy(lang).orderBy(F.xxhash64(key, lang), key)
+    # first a share of each language by hash, half as large again as wanted, so that no language is sorted whole
+    sizes = known.groupBy(lang).agg(F.count("*").alias("n"))
+    share = F.pmod(F.xxhash64(lang, key), F.lit(1 << 30)) / float(1 << 30)
+    known = known.join(F.broadcast(sizes), lang).where(share * F.col("n") <= 1.5 * per_language + 50)
     ids = known.select(key, lang).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select(key).distinct()
     # at most per_language ids a language: bounded by the number of languages
     rows = known.select(key, text, lang).join(F.broadcast(ids), key).select(text, lang)
@@ -133,9 +137,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 x = counts(data[a:b], offsets[lo : hi + 1] - a).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(lang).slice(lo, hi - lo)], names=["x", "lang"])
 
-    got = rows.mapInArrow(featured, "x binary, lang string").toArrow()
+    got = rows.mapInArrow(lean(featured), "x binary, lang string").toArrow()
     langs = np.array(got.column("lang").to_pylist(), dtype=object)
-    x = np.frombuffer(b"".join(v.as_py() for v in got.column("x")), np.float32).reshape(len(langs), WIDTH)
+    x = np.frombuffer(b"".join(v.as_py() for v in got.column("x")), np.float32).reshape(-1, WIDTH) if len(langs) else np.zeros((0, WIDTH), np.float32)
     # rows arrive in any order: sort them by content, so that learning is repeatable
     order = np.lexsort([x[:, 33], x[:, 101], x.sum(axis=1), langs.astype(str)])
     return Model(x[order].astype(np.float64), langs[order], FAMILIES if families is None else families)
@@ -156,7 +160,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 lang[~ok], score[~ok] = "und", 0.0
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score)], names=[key, "held_out", "lang_pred", "score"])
 
-    return docs.select(key, text, held_out(key).alias("held_out")).mapInArrow(run, f"`{key}` long, held_out boolean, lang_pred string, score double")
+    return docs.select(key, text, held_out(key).alias("held_out")).mapInArrow(lean(run), f"`{key}` long, held_out boolean, lang_pred string, score double")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
