@@ -37,7 +37,7 @@ POOL = 4000
 ROUNDS = 3
 HANDED = 200
 SURE = 0.95
-THRESHOLD = 0.2
+THRESHOLD = 0.3
 GRAMS = 512
 META = 256
 
