@@ -6,6 +6,8 @@ streams in key order, the other tables; lookups: customer, nation, part, supplie
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from brookql.session import Engine
@@ -150,13 +152,93 @@ q("fn_system", "SELECT event_id, event_time() AS t, rule_id() AS r, get_keyed_st
 q("fn_volatile", "SELECT event_id, rand() < 1 AS a, length(uuid()) AS b, length(newuuid()) AS c, tstamp() > 0 AS d, length(now()) AS e, length(current_date()) AS f, length(current_time()) AS g, length(array_shuffle([1, 2])) AS h FROM events", "SELECT event_id, true AS a, 36::BIGINT AS b, 36::BIGINT AS c, true AS d, 19::BIGINT AS e, 10::BIGINT AS f, 8::BIGINT AS g, 2::BIGINT AS h FROM events")
 
 
+# -- further operators ------------------------------------------------------------
+q("count_window_sampled", "SELECT count(*) AS c, min(event_id) AS e, sum(value) AS s FROM events GROUP BY COUNTWINDOW(5, 20)", f"SELECT count(*) AS c, min(event_id) AS e, sum(value) AS s FROM (SELECT *, row_number() OVER (ORDER BY t, event_id) - 1 AS i FROM {EV}) WHERE i % 20 >= 15 GROUP BY i // 20 HAVING count(*) = 5")
+q("sliding_with_delay", "SELECT window_start() AS ws, count(*) AS c FROM events GROUP BY SLIDINGWINDOW(mi, 10, 5) OVER (WHEN event_type = 'purchase')", f"SELECT a.t - {10 * MINUTE} AS ws, count(*) AS c FROM {EV} a JOIN {EV} b ON b.t BETWEEN a.t - {10 * MINUTE} AND a.t + {5 * MINUTE} WHERE a.event_type = 'purchase' GROUP BY a.t, a.event_id")
+q("left_asof_join", "SELECT a.event_id AS x, b.value AS y FROM events AS a LEFT ASOF JOIN clicks_at AS b ON a.user_id = b.user_id", f"SELECT a.event_id AS x, (SELECT arg_max(b.value, (b.t, b.event_id)) FROM {EV} b WHERE b.event_type = 'click' AND b.user_id = a.user_id AND b.t <= a.t) AS y FROM {EV} a")
+q("merge_and_extract", "SELECT user_id, window_start() AS ws, to_json(merge_agg({a: event_type, b: value})) AS m FROM events GROUP BY user_id, TUMBLINGWINDOW(dd, 1)", f"""SELECT user_id, t - t % {24 * HOUR} AS ws, '{{"a":"' || arg_max(event_type, (t, event_id)) || '","b":' || CAST(arg_max(value, (t, event_id)) AS VARCHAR) || '}}' AS m FROM {EV} GROUP BY user_id, t - t % {24 * HOUR}""")
+q("extract_object", "SELECT event_id, extract({u: user_id, k: event_type}) FROM events", "SELECT event_id, user_id AS u, event_type AS k FROM events")
+q("acc_map", "SELECT event_id, array_join(array_sort(keys(kvpair_array_to_obj(acc_map_agg(event_type, value) OVER (PARTITION BY user_id))))) AS k, element_at(kvpair_array_to_obj(acc_map_agg(event_type, value) OVER (PARTITION BY user_id)), event_type) AS v FROM events WHERE event_id < 3000", f"SELECT a.event_id, string_agg(DISTINCT b.event_type, ',' ORDER BY b.event_type) AS k, a.value AS v FROM {EV} a JOIN {EV} b ON a.user_id = b.user_id AND (b.t, b.event_id) <= (a.t, a.event_id) WHERE a.event_id < 3000 GROUP BY a.event_id, a.value")
+q("union_missing_columns", "SELECT event_id AS id, value FROM events WHERE event_id < 50 UNION ALL SELECT event_id AS id, event_type FROM events WHERE event_id < 50", "SELECT event_id AS id, value, NULL AS event_type FROM events WHERE event_id < 50 UNION ALL SELECT event_id, NULL, event_type FROM events WHERE event_id < 50")
+q("event_time_in_groups", "SELECT event_type, max(hour(ts)) AS h, count(*) AS c FROM events WHERE day_name(ts) = 'Monday' GROUP BY event_type, TUMBLINGWINDOW(dd, 1)", f"SELECT event_type, max(hour(ts)) AS h, count(*) AS c FROM {EV} WHERE dayname(ts) = 'Monday' GROUP BY event_type, t - t % {24 * HOUR}")
+q("pages_urls", "SELECT page_id, split_value(url, '/', 2) AS host, length(url) AS n FROM pages WHERE url LIKE 'https%'", "SELECT page_id, split_part(url, '/', 3) AS host, length(url) AS n FROM pages WHERE url LIKE 'https%'")
+q("conversation_turns", "SELECT conv_id, count(*) AS c, array_join(collect(role)) AS r FROM conversations GROUP BY conv_id, TUMBLINGWINDOW(dd, 1)", "SELECT conv_id, count(*) AS c, string_agg(role, ',' ORDER BY turn) AS r FROM conversations GROUP BY conv_id")
+q("declared_schema", "SELECT event_id, value, user_id, flag FROM declared WHERE value > 3", "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(trunc(value) AS BIGINT) AS value, CAST(user_id AS DOUBLE) AS user_id, 'none' AS flag FROM events WHERE trunc(value) > 3")
+q("keyed_table", "SELECT c.c_custkey, o.o_orderkey FROM customer AS c INNER JOIN last_order AS o ON c.c_custkey = o.o_custkey", "SELECT o_custkey AS c_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+q("retained_table", "SELECT e.event_id, t.s_name FROM events AS e INNER JOIN last_suppliers AS t ON e.event_id = t.s_suppkey", "SELECT e.event_id, s_name FROM events e JOIN (SELECT * FROM supplier ORDER BY s_suppkey DESC LIMIT 5) ON event_id = s_suppkey")
+
+
+def _declared(e: Engine) -> None:
+    """Sources that a statement needs beside the plain tables."""
+    read = lambda t: e.spark.read.parquet(f"{e.catalog.sources.folder}/{t}.parquet")
+    put = e.catalog.sources
+    from brookql.plans.catalog import Source
+    from brookql.plans.parser import parse_definition
+
+    d = parse_definition("CREATE STREAM declared (event_id TEXT, value BIGINT, user_id FLOAT, flag TEXT DEFAULT 'none')")
+    put["declared"] = Source("declared", read("events").select("event_id", "value", "user_id"), d.columns, {}, False, ("event_id",))
+    put["last_order"] = Source("last_order", read("orders"), [], {"KEY": "o_custkey"}, True, ("o_orderkey",))
+    put["last_suppliers"] = Source("last_suppliers", read("supplier"), [], {"RETAIN_SIZE": "5"}, True, ("s_suppkey",))
+    put["clicks_at"] = Source("clicks_at", read("events").where("event_type = 'click'"), [], {"TIMESTAMP": "ts"}, False, ("event_id",))
+
+
+DECLARED = ("declared", "last_order", "last_suppliers", "clicks_at")
+
+
 def _run(name: str, text: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return engine(spark, sf_dir).sql(text)
+        e = engine(spark, sf_dir)
+        if any(n in text for n in DECLARED):
+            _declared(e)
+        return e.sql(text)
 
     run.__name__ = name
     return run
 
 
+def _stream(name: str, text: str):
+    """The statement over the events file as a stream, delivered by a file sink and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from brookql.streaming.runner import stream
+
+        conf = spark.sparkContext.getConf()
+        shared = (conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+        folder = f"{shared}/{name}-{uuid.uuid4().hex}"
+        schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+        live = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        e = Engine(spark)
+        e.register("events", live, ORDER["events"], timestamp="ts")
+        writer = stream(e, text).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.parquet(f"{folder}/out")
+
+    run.__name__ = name
+    return run
+
+
+def graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule given as a graph: filter, then pick."""
+    from brookql.rules import Rule
+
+    op = lambda kind, **props: {"type": "operator", "nodeType": kind, "props": props}
+    graph = {
+        "nodes": {"in": {"type": "source", "nodeType": "memory", "props": {"sourceName": "events"}}, "hot": op("filter", expr="value > 30"), "cols": op("pick", fields=["event_id", "value"]), "f": op("function", expr="upper(event_type) AS kind")},
+        "topo": {"sources": ["in"], "edges": {"in": ["hot"], "hot": ["cols"], "cols": ["f"]}},
+    }
+    return Rule("graph", graph=graph).plan(engine(spark, sf_dir)).rows
+
+
+STREAMS = {
+    "stream_filter": ("SELECT event_id, value * 2 AS v FROM events WHERE event_type = 'view'", "SELECT event_id, value * 2 AS v FROM events WHERE event_type = 'view'"),
+    # windows that the watermark has not passed stay open
+    "stream_tumbling": ("SELECT event_type, window_start() AS ws, count(*) AS c, max(value) AS m FROM events GROUP BY event_type, TUMBLINGWINDOW(hh, 1)", f"SELECT event_type, t - t % {HOUR} AS ws, count(*) AS c, max(value) AS m FROM {EV} GROUP BY event_type, t - t % {HOUR} HAVING t - t % {HOUR} + {HOUR} <= (SELECT max(t) FROM {EV})"),
+    "stream_state": ("SELECT event_id, acc_count(value) OVER (PARTITION BY user_id) AS c, lag(event_id) OVER (PARTITION BY user_id) AS l, had_changed(event_type) OVER (PARTITION BY user_id) AS h FROM events", f"SELECT event_id, count(value) {UP} AS c, lag(event_id) {W} AS l, coalesce(lag(event_type) {W} <> event_type, true) AS h FROM {EV}"),
+}
+
 QUERIES = {name: _run(name, text) for name, (text, _) in Q.items()}
-ORACLE_SQL = {name: duck for name, (_, duck) in Q.items() if duck}
+QUERIES |= {name: _stream(name, text) for name, (text, _) in STREAMS.items()}
+QUERIES["graph_filter"] = graph_filter
+ORACLE_SQL = {name: duck for name, (_, duck) in (Q | STREAMS).items() if duck}
+ORACLE_SQL["graph_filter"] = "SELECT event_id, value, upper(event_type) AS kind FROM events WHERE value > 30"
