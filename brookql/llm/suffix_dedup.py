@@ -471,7 +471,8 @@ def _removed(docs: DataFrame, key: str, text: str, columns: list[str], length: i
     dealt = ex.grouped(ex.blocks(docs, key, n, columns), n)
     spoken = dealt.groupBy("part").applyInArrow(lean(_announcer(text, length, seed, n)), ex.BLOB_SCHEMA)
     told = spoken.groupBy("bucket").applyInArrow(lean(ex.answer_totals), ex.ANSWER_SCHEMA)
-    runs = dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(lean(_sorter(key, text, length, seed, n, hot)), RUN_SCHEMA)
+    # a block may send a bucket two kinds of blobs, so there are fewer buckets than in the first exchange
+    runs = dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(lean(_sorter(key, text, length, seed, max(1, n // ex.BLOCKS_PER_PARTITION), hot)), RUN_SCHEMA)
     cuts = runs.groupBy("bucket").applyInArrow(lean(_merger(length, seed)), CUT_SCHEMA)
     return dealt.groupBy("part").cogroup(cuts.groupBy("part")).applyInArrow(lean(_cutter(key, text, length, emit)), ddl)
 
