@@ -7,12 +7,15 @@ is and returns its present value; the change functions ignore WHEN.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brookql.functions.values import BOOL, DOUBLE, LONG, CompileError, Val, as_bool, as_double, as_long, as_string, boolean
+from brookql.operators.ordering import Ordered
 from brookql.plans import ast as A
 
 PATTERNS = ("sequence_match", "sequence_count")
@@ -81,6 +84,41 @@ def compile_call(ctx, call: A.Call, order: tuple[str, ...] = ("__ts", "__seq"),
     raise CompileError(f"{name} is no analytic function")
 
 
+def whole_stream(o: Ordered, ctx, call: A.Call, name: str):
+    """Notes the columns of a call without PARTITION BY, kept by blocks of the stream.
+
+    Returns what gives the call's value once they are there, or None where the call
+    needs all rows in one order.
+    """
+    when = None if call.when is None else F.coalesce(ctx.predicate(call.when), F.lit(False))
+    gate = (lambda c: c) if when is None else (lambda c: F.when(when, c))
+    args = [ctx.compile(a) if not isinstance(a, A.Star) else Val(F.lit(1), LONG) for a in call.args]
+    if call.name in ("row_number", "last_hit_count", "acc_count"):
+        counted = F.lit(1) if not args else args[0].c
+        one = F.coalesce(gate(counted.isNotNull().cast("long")), F.lit(0))
+        o.running_sum(one, name)
+        return lambda: Val(F.col(name) - one if call.name == "last_hit_count" else F.col(name), LONG, False)
+    if call.name in ("acc_min", "acc_max"):
+        o.running(F.min if call.name == "acc_min" else F.max, gate(args[0].c), name)
+        return lambda: Val(F.col(name), args[0].t)
+    if call.name == "acc_sum":
+        x = as_long(args[0]) if args[0].is_int else as_double(args[0])
+        o.running_sum(gate(x), name).running_sum(F.coalesce(gate(x.isNotNull().cast("long")), F.lit(0)), f"{name}n")
+        return lambda: Val(F.when(F.col(f"{name}n") > 0, F.col(name)), LONG if args[0].is_int else DOUBLE)
+    if call.name == "lag" and when is None and len(args) < 3 and (len(args) == 1 or args[1].lit == 1):
+        o.previous(args[0].c, name)
+        return lambda: Val(F.col(name), args[0].t)
+    if call.name in ("had_changed", "changed_col"):
+        cols = args[1:] if len(args) > 1 and isinstance(args[0].lit, bool) else args
+        for i, v in enumerate(cols):
+            o.last_before(v.c, f"{name}p{i}")
+        tests = [v.c.isNotNull() & ~v.c.eqNullSafe(F.col(f"{name}p{i}")) for i, v in enumerate(cols)]
+        if call.name == "changed_col":
+            return lambda: Val(F.coalesce(*[F.when(t, v.c) for t, v in zip(tests, cols)]), cols[0].t)
+        return lambda: boolean(reduce(lambda x, y: x | y, tests), False)
+    return None
+
+
 def change(c: Column, before) -> Column:
     """Whether c is a value other than the last one before it."""
     return c.isNotNull() & ~c.eqNullSafe(F.last(c, ignorenulls=True).over(before))

@@ -7,6 +7,8 @@ sum or last row), carried forward and joined back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +21,19 @@ def below(bounds: list, c: Column) -> Column:
 
 
 class Ordered:
-    """df with `__block`; equal times share a block.  Order is by __ts, then __seq."""
+    """df with `__block`; equal times share a block.  Order is by __ts, then __seq.
+
+    The methods note columns to add; done() adds them all with one aggregate a block,
+    one carry and one join, so the input is read twice, however many there are.
+    """
 
     def __init__(self, df: DataFrame, blocks: int | None = None) -> None:
-        spark = df.sparkSession
-        n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.added: list[tuple[str, Column, Callable, Callable]] = []
+        self.within = Window.partitionBy("__block").orderBy("__ts", "__seq")
+        if "__block" in df.columns:
+            self.df = df
+            return
+        n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         bounds = []
         if n > 1:
             found = df.select(F.percentile_approx("__ts", [i / n for i in range(1, n)], 20 * n)).head()[0]
@@ -31,34 +41,48 @@ class Ordered:
         # a null time sorts first, as in any ascending order
         block = F.when(F.col("__ts").isNull(), -1).otherwise(below(bounds, F.col("__ts"))) if bounds else F.lit(0)
         self.df = df.withColumn("__block", block.cast("int"))
-        self.within = Window.partitionBy("__block").orderBy("__ts", "__seq")
 
-    def _carried(self, totals: DataFrame, name: str) -> DataFrame:
-        # one row a block: far below any size that matters to a broadcast
-        return self.df.join(F.broadcast(totals), "__block", "left").withColumn(name, F.col(name))
+    def _add(self, name: str, total: Column, carry: Callable, final: Callable) -> Ordered:
+        """total: a block's aggregate; carry: from a total to what went before the block; final: from a carry to the column."""
+        self.added.append((name, total, carry, final))
+        return self
 
     def running_sum(self, c: Column, name: str) -> Ordered:
-        """Adds the inclusive running sum of c over the whole stream."""
-        part = self.df.groupBy("__block").agg(F.sum(c).alias("__s"))
-        before = part.select("__block", F.coalesce(F.sum("__s").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__carry"))
-        self.df = self._carried(before, "__carry")
-        running = F.coalesce(F.sum(c).over(self.within.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) + F.coalesce("__carry", F.lit(0))
-        self.df = self.df.withColumn(name, running).drop("__carry")
-        return self
+        """The inclusive running sum of c over the whole stream, 0 where nothing came yet."""
+        own = F.sum(c).over(self.within.rowsBetween(Window.unboundedPreceding, 0))
+        return self._add(name, F.sum(c), lambda t, before: F.sum(t).over(before), lambda k: F.coalesce(own, F.lit(0)) + F.coalesce(k, F.lit(0)))
 
     def row_number(self, name: str) -> Ordered:
-        """Adds the 1-based place in the whole stream."""
+        """The 1-based place in the whole stream."""
         return self.running_sum(F.lit(1).cast("long"), name)
 
+    def running(self, f, c: Column, name: str) -> Ordered:
+        """The running F.min or F.max (f) of c."""
+        own = f(c).over(self.within.rowsBetween(Window.unboundedPreceding, 0))
+        pick = F.least if f is F.min else F.greatest
+        return self._add(name, f(c), lambda t, before: f(t).over(before), lambda k: pick(own, k))
+
     def previous(self, c: Column, name: str) -> Ordered:
-        """Adds c of the row before, in the whole stream."""
-        ord_ = F.struct("__ts", "__seq")
-        last = self.df.groupBy("__block").agg(F.max_by(F.struct(c.alias("v")), ord_).alias("__v"))
-        before = last.select("__block", F.lag("__v").over(Window.orderBy("__block")).alias("__carry"))
-        self.df = self._carried(before, "__carry")
+        """c of the row before."""
+        total = F.max_by(F.struct(c.alias("v")), F.struct("__ts", "__seq"))
         own = F.lag(F.struct(c.alias("v"))).over(self.within)
-        self.df = self.df.withColumn(name, F.coalesce(own, F.col("__carry"))["v"]).drop("__carry")
-        return self
+        return self._add(name, total, lambda t, before: F.last(t, ignorenulls=True).over(before), lambda k: F.coalesce(own, k)["v"])
+
+    def last_before(self, c: Column, name: str) -> Ordered:
+        """The last value of c before each row that is not null."""
+        total = F.max_by(c, F.when(c.isNotNull(), F.struct("__ts", "__seq")))
+        own = F.last(c, ignorenulls=True).over(self.within.rowsBetween(Window.unboundedPreceding, -1))
+        return self._add(name, total, lambda t, before: F.last(t, ignorenulls=True).over(before), lambda k: F.coalesce(own, k))
 
-    def done(self) -> DataFrame:
-        return self.df.drop("__block")
+    def done(self, keep: bool = False) -> DataFrame:
+        """The rows with all columns; keep: with `__block` too, for another round on the same blocks."""
+        if self.added:
+            totals = self.df.groupBy("__block").agg(*[t.alias(f"__t{i}") for i, (_, t, _, _) in enumerate(self.added)])
+            # one row a block: no size that matters to one task or to a broadcast
+            before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+            carried = totals.select("__block", *[carry(F.col(f"__t{i}"), before).alias(f"__k{i}") for i, (_, _, carry, _) in enumerate(self.added)])
+            df = self.df.join(F.broadcast(carried), "__block", "left")
+            df = df.withColumns({name: final(F.col(f"__k{i}")) for i, (name, _, _, final) in enumerate(self.added)})
+            self.df, n = df.drop(*[f"__k{i}" for i in range(len(self.added))]), len(self.added)
+            self.added = self.added[n:]
+        return self.df if keep else self.df.drop("__block")

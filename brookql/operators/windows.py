@@ -98,9 +98,9 @@ def _count(df: DataFrame, size: int, hop: int | None = None) -> DataFrame:
 
 def _session(df: DataFrame, longest: int, gap: int) -> DataFrame:
     """One session at a time for the whole stream; it ends at a gap over `gap` or at `longest`."""
-    o = Ordered(df.where("__ts is not null")).previous(F.col("__ts"), "__p")
+    df = Ordered(df.where("__ts is not null")).previous(F.col("__ts"), "__p").done(keep=True)
     fresh = F.when(F.col("__p").isNull() | (F.col("__ts") - F.col("__p") > gap), 1).otherwise(0)
-    df = o.running_sum(fresh.cast("long"), "__g").done().drop("__p")
+    df = Ordered(df).running_sum(fresh.cast("long"), "__g").done().drop("__p")
     span = df.groupBy("__g").agg(F.min("__ts").alias("__lo"), F.max("__ts").alias("__hi"))
     df = df.join(span, "__g")
     # a stretch without gaps that stays short is one session
@@ -135,19 +135,24 @@ def _state(df: DataFrame, w: A.Window, predicate, value) -> DataFrame:
     if key is not None:
         order = Window.partitionBy(key).orderBy("__ts", "__seq").rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumn("__key", key)
-        total = lambda d, c, n: d.withColumn(n, F.sum(c).over(order))
+        totals = lambda d, **cs: d.withColumns({n: F.sum(c).over(order) for n, c in cs.items()})
     else:
         df = df.withColumn("__key", F.lit(0))
-        total = lambda d, c, n: Ordered(d).running_sum(c, n).done()
+
+        def totals(d, **cs):
+            o = Ordered(d)
+            for n, c in cs.items():
+                o = o.running_sum(c, n)
+            return o.done(keep=True)
+
     if len(w.args) == 1:
-        df = total(df, F.col("__start").cast("long"), "__n").where("__n > 0")
+        df = totals(df, __n=F.col("__start").cast("long")).where("__n > 0")
     else:
         # A row with one condition sets the state, a row with both flips it, others keep it.  So the state
         # after a row is that of the last setting row, flipped once for each row with both since then.
         both = F.col("__start") & F.col("__end")
         sets = F.col("__start") != F.col("__end")
-        df = total(df, sets.cast("long"), "__sets")
-        df = total(df, both.cast("long"), "__flips")
+        df = totals(df, __sets=sets.cast("long"), __flips=both.cast("long"))
         at = df.where(sets).select("__key", "__sets", F.col("__start").alias("__on"), F.col("__flips").alias("__flips0"))
         df = df.join(at, ["__key", "__sets"], "left")
         after = F.coalesce("__on", F.lit(False)).cast("int") + F.col("__flips") - F.coalesce("__flips0", F.lit(0))
@@ -155,10 +160,10 @@ def _state(df: DataFrame, w: A.Window, predicate, value) -> DataFrame:
         if key is not None:
             df = df.withColumn("__before", F.lag("__after").over(Window.partitionBy("__key").orderBy("__ts", "__seq")))
         else:
-            df = Ordered(df).previous(F.col("__after"), "__before").done()
+            df = Ordered(df).previous(F.col("__after"), "__before").done(keep=True)
         df = df.withColumn("__before", F.coalesce("__before", F.lit(False)))
         opens = F.col("__after") & ~F.col("__before")
-        df = total(df, opens.cast("long"), "__n")
+        df = totals(df, __n=opens.cast("long"))
         df = df.where(F.col("__after") | F.col("__before"))
         df = df.drop("__sets", "__flips", "__on", "__flips0", "__after", "__before", "__end")
     bounds = df.groupBy("__key", "__n").agg(F.min("__ts").alias("__ws"), F.max("__ts").alias("__we"))
@@ -167,4 +172,4 @@ def _state(df: DataFrame, w: A.Window, predicate, value) -> DataFrame:
         following = bounds.select("__key", (F.col("__n") - 1).alias("__n"), F.col("__ws").alias("__next"))
         bounds = bounds.join(following, ["__key", "__n"], "left").withColumn("__we", F.coalesce("__next", "__we")).drop("__next")
     df = df.join(bounds, ["__key", "__n"])
-    return df.withColumn("__w", F.struct("__key", "__n")).drop("__key", "__n", "__start")
+    return df.withColumn("__w", F.struct("__key", "__n")).drop("__key", "__n", "__start", "__block")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from brookql.functions import AGGREGATES, ANALYTIC, FUNCTIONS, WIDENING
 from brookql.functions.values import LONG, CompileError, Val
 from brookql.operators import aggregates, analytic, joins, windows
+from brookql.operators.ordering import Ordered
 from brookql.plans import ast as A
 from brookql.plans.catalog import Catalog
 from brookql.plans.expressions import Expressions, Scope, quoted
@@ -149,6 +150,8 @@ class Planner:
 
     def _analytic(self, df: DataFrame, sources, nodes, known, over=None) -> DataFrame:
         """Adds a column for each state call in the nodes; equal calls share one."""
+        if over is None:
+            df = self._whole_stream(df, sources, nodes, known)
         for e in nodes:
             for n in A.walk(e) if e is not None else ():
                 if not isinstance(n, A.Call) or n in known or n.name == "changed_cols":
@@ -170,6 +173,23 @@ class Planner:
                 known[n] = Val(F.col(name), v.t, v.nullable)
         return df
 
+    def _whole_stream(self, df: DataFrame, sources, nodes, known) -> DataFrame:
+        """Adds the state calls without PARTITION BY that blocks of the stream can keep, all in one step."""
+        ordered, later = None, []
+        for n in (n for e in nodes if e is not None for n in A.walk(e)):
+            # calls within calls come one by one
+            inner = any(isinstance(x, A.Call) and x.name in ANALYTIC for x in list(A.walk(n))[1:])
+            if not isinstance(n, A.Call) or n.name not in ANALYTIC or n.partition or n in known or inner or any(n == x for x, _ in later):
+                continue
+            ordered = ordered or Ordered(df)
+            made = analytic.whole_stream(ordered, self._exprs(df, sources, known), n, f"__u{len(later)}")
+            if made is not None:
+                later.append((n, made))
+        if not later:
+            return df
+        known.update((n, made()) for n, made in later)
+        return ordered.done()
+
     # -- groups
 
     def _grouped(self, sel: A.Select, df: DataFrame, sources, known, outer) -> DataFrame:

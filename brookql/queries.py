@@ -113,6 +113,7 @@ q("analytic_extremes", "SELECT event_id, acc_max_by(event_id, value) OVER (PARTI
 q("analytic_collect", "SELECT event_id, array_join(acc_collect(event_type) OVER (PARTITION BY user_id)) AS c, array_join(acc_distinct_collect(event_type) OVER (PARTITION BY user_id)) AS d FROM events WHERE event_id < 2000", f"""SELECT a.event_id, a.c, string_agg(b.event_type, ',' ORDER BY b.t, b.event_id) AS d FROM (SELECT *, string_agg(event_type, ',') {UP} AS c FROM {EV}) a
 JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS n FROM {EV}) WHERE n = 1) b ON a.user_id = b.user_id AND (b.t, b.event_id) <= (a.t, a.event_id) WHERE a.event_id < 2000 GROUP BY a.event_id, a.c""")
 q("analytic_hits", "SELECT event_id, last_hit_count() AS n FROM events", f"SELECT event_id, row_number() OVER (ORDER BY t, event_id) - 1 AS n FROM {EV}")
+q("analytic_whole_stream", "SELECT event_id, row_number() OVER () AS r, acc_count(value) OVER () AS c, round(acc_sum(value) OVER (WHEN event_type = 'view'), 2) AS s, acc_min(value) OVER () AS n, acc_max(value) OVER (WHEN user_id > 20) AS m, lag(event_id) OVER () AS l, had_changed(event_type) OVER () AS h, changed_col(user_id) OVER () AS u FROM events WHERE value > 5", f"SELECT event_id, r, c, s, n, m, l, p IS NULL OR p <> event_type AS h, CASE WHEN q IS NULL OR q <> user_id THEN user_id END AS u FROM (SELECT *, row_number() OVER (ORDER BY t, event_id) AS r, count(value) OVER (ORDER BY t, event_id) AS c, round(sum(CASE WHEN event_type = 'view' THEN value END) OVER (ORDER BY t, event_id), 2) AS s, min(value) OVER (ORDER BY t, event_id) AS n, max(CASE WHEN user_id > 20 THEN value END) OVER (ORDER BY t, event_id) AS m, lag(event_id) OVER (ORDER BY t, event_id) AS l, lag(event_type) OVER (ORDER BY t, event_id) AS p, lag(user_id) OVER (ORDER BY t, event_id) AS q FROM {EV}) WHERE value > 5")
 q("pattern_match", "SELECT event_id, sequence_match(36000000, event_type = 'view', event_type = 'click', event_type = 'purchase') OVER (PARTITION BY user_id) AS hit, sequence_count(0, event_type = 'view', event_type = 'click') OVER (PARTITION BY user_id) AS n FROM events", None)
 
 # -- joins ------------------------------------------------------------------------
