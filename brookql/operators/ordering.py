@@ -68,6 +68,12 @@ class Ordered:
         own = F.lag(F.struct(c.alias("v"))).over(self.within)
         return self._add(name, total, lambda t, before: F.last(t, ignorenulls=True).over(before), lambda k: F.coalesce(own, k)["v"])
 
+    def last_at(self, c: Column, name: str) -> Ordered:
+        """The last value of c up to each row that is not null."""
+        total = F.max_by(c, F.when(c.isNotNull(), F.struct("__ts", "__seq")))
+        own = F.last(c, ignorenulls=True).over(self.within.rowsBetween(Window.unboundedPreceding, 0))
+        return self._add(name, total, lambda t, before: F.last(t, ignorenulls=True).over(before), lambda k: F.coalesce(own, k))
+
     def last_before(self, c: Column, name: str) -> Ordered:
         """The last value of c before each row that is not null."""
         total = F.max_by(c, F.when(c.isNotNull(), F.struct("__ts", "__seq")))

@@ -28,8 +28,11 @@ def lengths(w: A.Window) -> list[int]:
     return out
 
 
-def assign(df: DataFrame, w: A.Window, predicate, value) -> DataFrame:
-    """Rows with their windows; predicate and value compile nodes over df."""
+def assign(df: DataFrame, w: A.Window, predicate, value, bounds: bool = True) -> DataFrame:
+    """Rows with their windows; predicate and value compile nodes over df.
+
+    bounds: whether anything asks for the windows' ends, where finding them costs a join.
+    """
     if w.filter is not None:
         df = df.where(predicate(w.filter))
     if w.kind == "state":
@@ -40,7 +43,7 @@ def assign(df: DataFrame, w: A.Window, predicate, value) -> DataFrame:
     if w.kind == "count":
         return _count(df, *sizes)
     if w.kind == "session":
-        return _session(df, *sizes)
+        return _session(df, *sizes, bounds)
     df = df.where("__ts is not null")
     if w.kind == "tumbling":
         return tumbling(df, sizes[0])
@@ -96,20 +99,21 @@ def _count(df: DataFrame, size: int, hop: int | None = None) -> DataFrame:
     return df.drop("__rn", "__n")
 
 
-def _session(df: DataFrame, longest: int, gap: int) -> DataFrame:
-    """One session at a time for the whole stream; it ends at a gap over `gap` or at `longest`."""
+def _session(df: DataFrame, longest: int, gap: int, bounds: bool = True) -> DataFrame:
+    """One session at a time for the whole stream; it ends at a gap over `gap` or at `longest`.
+
+    A stretch without gaps is one session unless it reaches `longest`; only the distinct
+    times of such stretches are walked through in order, to cut them.  Where the query
+    does not need the sessions' ends (bounds), they are not looked for.
+    """
     df = Ordered(df.where("__ts is not null")).previous(F.col("__ts"), "__p").done(keep=True)
-    fresh = F.when(F.col("__p").isNull() | (F.col("__ts") - F.col("__p") > gap), 1).otherwise(0)
-    df = Ordered(df).running_sum(fresh.cast("long"), "__g").done().drop("__p")
-    span = df.groupBy("__g").agg(F.min("__ts").alias("__lo"), F.max("__ts").alias("__hi"))
-    df = df.join(span, "__g")
-    # a stretch without gaps that stays short is one session
-    short = df.where(F.col("__hi") - F.col("__lo") < longest).withColumn("__ws", F.col("__lo"))
-    long = df.where(F.col("__hi") - F.col("__lo") >= longest)
-    schema = T.StructType([T.StructField("__g", T.LongType()), T.StructField("__ts", T.LongType()), T.StructField("__ws", T.LongType())])
+    fresh = F.col("__p").isNull() | (F.col("__ts") - F.col("__p") > gap)
+    df = Ordered(df).last_at(F.when(fresh, F.col("__ts")), "__s").done().drop("__p")
+    over = df.where(F.col("__ts") - F.col("__s") >= longest).select("__s").distinct()
+    schema = T.StructType([T.StructField("__s", T.LongType()), T.StructField("__ts", T.LongType()), T.StructField("__ws", T.LongType())])
 
     def cut(times: pd.DataFrame) -> pd.DataFrame:
-        # only the distinct times of one stretch: rows of a time share their session
+        # rows of one time share their session
         t = times.sort_values("__ts", ignore_index=True)
         starts, start = [], None
         for x in t["__ts"]:
@@ -119,10 +123,13 @@ def _session(df: DataFrame, longest: int, gap: int) -> DataFrame:
         t["__ws"] = starts
         return t
 
-    times = long.select("__g", "__ts").distinct().groupBy("__g").applyInPandas(cut, schema)
-    df = short.unionByName(long.join(times, ["__g", "__ts"]))
-    ends = df.groupBy("__g", "__ws").agg((F.max("__ts") + gap).alias("__we"))
-    return df.join(ends, ["__g", "__ws"]).withColumn("__w", F.col("__ws")).drop("__g", "__lo", "__hi")
+    times = df.join(over, "__s", "left_semi").select("__s", "__ts").distinct().groupBy("__s").applyInPandas(cut, schema)
+    df = df.join(times, ["__s", "__ts"], "left").withColumn("__ws", F.coalesce("__ws", "__s")).drop("__s")
+    if bounds:
+        df = df.join(df.groupBy("__ws").agg((F.max("__ts") + gap).alias("__we")), "__ws")
+    else:
+        df = df.withColumn("__we", F.col("__ws"))
+    return df.withColumn("__w", F.col("__ws"))
 
 
 def _state(df: DataFrame, w: A.Window, predicate, value) -> DataFrame:

@@ -102,7 +102,9 @@ class Planner:
             df = df.where(condition)
         if sel.window is not None and not windowed:
             ctx = self._exprs(df, sources, known)
-            df = windows.assign(df, sel.window, ctx.predicate, ctx.compile)
+            # the ends of sessions order the groups of these, too
+            ends = sel.order or sel.limit is not None or any(isinstance(n, A.Call) and (n.name in ANALYTIC or n.name in ("window_end", "last_agg_hit_count", "last_agg_hit_time")) for n in A.walk((sel.items, sel.having)))
+            df = windows.assign(df, sel.window, ctx.predicate, ctx.compile, bool(ends))
         if grouped:
             return self._grouped(sel, df, sources, known, outer)
         if sel.having is not None:
