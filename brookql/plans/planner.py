@@ -32,6 +32,15 @@ class Plan:
     rows: DataFrame
     errors: list[DataFrame] = field(default_factory=list)
 
+    def dead_letters(self, cap: int = 4096) -> DataFrame | None:
+        """All failed rows: error, source, and the row as JSON, at most `cap` characters of it; None if none can fail."""
+        if not self.errors:
+            return None
+        out = self.errors[0]
+        for e in self.errors[1:]:
+            out = out.unionByName(e)
+        return out.withColumn("row", F.substring("row", 1, cap))
+
 
 def check(sel: A.Select, catalog: Catalog, udfs: dict) -> None:
     """The rejections that do not need types."""

@@ -114,7 +114,14 @@ q("analytic_collect", "SELECT event_id, array_join(acc_collect(event_type) OVER
 JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS n FROM {EV}) WHERE n = 1) b ON a.user_id = b.user_id AND (b.t, b.event_id) <= (a.t, a.event_id) WHERE a.event_id < 2000 GROUP BY a.event_id, a.c""")
 q("analytic_hits", "SELECT event_id, last_hit_count() AS n FROM events", f"SELECT event_id, row_number() OVER (ORDER BY t, event_id) - 1 AS n FROM {EV}")
 q("analytic_whole_stream", "SELECT event_id, row_number() OVER () AS r, acc_count(value) OVER () AS c, round(acc_sum(value) OVER (WHEN event_type = 'view'), 2) AS s, acc_min(value) OVER () AS n, acc_max(value) OVER (WHEN user_id > 20) AS m, lag(event_id) OVER () AS l, had_changed(event_type) OVER () AS h, changed_col(user_id) OVER () AS u FROM events WHERE value > 5", f"SELECT event_id, r, c, s, n, m, l, p IS NULL OR p <> event_type AS h, CASE WHEN q IS NULL OR q <> user_id THEN user_id END AS u FROM (SELECT *, row_number() OVER (ORDER BY t, event_id) AS r, count(value) OVER (ORDER BY t, event_id) AS c, round(sum(CASE WHEN event_type = 'view' THEN value END) OVER (ORDER BY t, event_id), 2) AS s, min(value) OVER (ORDER BY t, event_id) AS n, max(CASE WHEN user_id > 20 THEN value END) OVER (ORDER BY t, event_id) AS m, lag(event_id) OVER (ORDER BY t, event_id) AS l, lag(event_type) OVER (ORDER BY t, event_id) AS p, lag(user_id) OVER (ORDER BY t, event_id) AS q FROM {EV}) WHERE value > 5")
-q("pattern_match", "SELECT event_id, sequence_match(36000000, event_type = 'view', event_type = 'click', event_type = 'purchase') OVER (PARTITION BY user_id) AS hit, sequence_count(0, event_type = 'view', event_type = 'click') OVER (PARTITION BY user_id) AS n FROM events", None)
+q("pattern_match", "SELECT event_id, sequence_match(36000000, event_type = 'view', event_type = 'click', event_type = 'purchase') OVER (PARTITION BY user_id) AS hit, sequence_count(0, event_type = 'view', event_type = 'click') OVER (PARTITION BY user_id) AS n FROM events", f"""WITH RECURSIVE o AS (SELECT *, row_number() {W} AS n, event_type = 'view' AS a, event_type = 'click' AS b, event_type = 'purchase' AS c FROM {EV}),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS n, -1::BIGINT AS event_id, 0 AS s, 0::BIGINT AS st, false AS hit, 0 AS s2, 0::BIGINT AS done FROM o
+UNION ALL
+SELECT user_id, n, event_id, s1 % 3, CASE WHEN s1 = 1 AND a AND (s0 <> 1 OR NOT b) THEN t ELSE st END, s1 = 3,
+CASE WHEN s2 = 0 THEN CAST(a AS INTEGER) WHEN b THEN 0 ELSE 1 END, CASE WHEN s2 = 1 AND b THEN done + 1 ELSE done END
+FROM (SELECT *, CASE s0 WHEN 0 THEN CAST(a AS INTEGER) WHEN 1 THEN CASE WHEN b THEN 2 ELSE 1 END ELSE CASE WHEN c THEN 3 WHEN a THEN 1 ELSE 2 END END AS s1
+FROM (SELECT o.user_id, o.n, o.event_id, o.t, o.a, o.b, o.c, r.st, r.s2, r.done, CASE WHEN r.s > 0 AND o.t - r.st > 36000000 THEN 0 ELSE r.s END AS s0 FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)))
+SELECT event_id, hit, done AS n FROM r WHERE n > 0""")
 
 # -- joins ------------------------------------------------------------------------
 q("lookup_join", "SELECT o.o_orderkey, c.c_name, n.n_name FROM orders AS o INNER JOIN customer AS c ON o.o_custkey = c.c_custkey LEFT JOIN nation AS n ON c.c_nationkey = n.n_nationkey", "SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey")

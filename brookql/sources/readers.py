@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from brookql.functions.values import CompileError
 from brookql.plans import ast as A
+from brookql.sources.protobuf import from_protobuf
 
 BROKERS = ("mqtt", "edgex", "rabbitmq", "amqp", "redissub", "zmq", "zeromq", "websocket", "httppush", "httppull", "modbus", "opcua", "otlp")
 
@@ -53,6 +54,11 @@ def decode(raw: DataFrame, d: A.Definition, column: str = "value") -> DataFrame:
         reading = "struct<resourceName:string,valueType:string,value:string,origin:bigint>"
         rows = raw.withColumn("__e", F.from_json(F.col(column).cast("string"), f"struct<event:struct<deviceName:string,profileName:string,origin:bigint,readings:array<{reading}>>>"))
         return rows.select(F.col("__e.event.deviceName").alias("deviceName"), F.explode("__e.event.readings").alias("r"), *rest).select("deviceName", "r.*", *rest)
+    if how == "PROTOBUF":
+        # the payload is base64 where it comes as text; SCHEMA names a definition file's path, MESSAGE the message
+        text = "\n".join(r.value for r in raw.sparkSession.read.text(d.options["SCHEMA"], wholetext=True).collect())
+        payload = F.col(column) if raw.schema[column].dataType.typeName() == "binary" else F.try_to_binary(F.col(column), F.lit("base64"))
+        return raw.select(from_protobuf(payload, text, d.options["MESSAGE"]).alias("__p"), *rest).where("__p is not null").select("__p.*", *rest)
     raise CompileError(f"format {how} is not supported here")
 
 

@@ -79,3 +79,31 @@ def test_user_functions_and_keyed_state(spark):
     e.function("m.thrice", F.udf(lambda x: x * 3, "long"))
     got = e.sql("SELECT twice(v) AS a, wasm_run('m', 'thrice', v) AS b FROM s WHERE v > get_keyed_state('limit', 'bigint', 0)").collect()
     assert [tuple(r) for r in got] == [(12, 18)]
+
+
+def test_protobuf(spark, tmp_path):
+    import base64
+    import struct
+
+    from brookql.sources.protobuf import Schema
+
+    text = 'syntax = "proto3";\n// a reading\nmessage Reading { message Tag { string k = 1; } int64 id = 1; double v = 2; repeated sint32 d = 3 [packed=true]; Tag tag = 4; bool ok = 5; }'
+    tag = b"\x0a\x01x"
+    raw = b"\x08\x96\x01" + b"\x11" + struct.pack("<d", 2.5) + b"\x1a\x03\x01\x02\x03" + b"\x22" + bytes([len(tag)]) + tag
+    assert Schema(text).decode("Reading", raw) == {"id": 150, "v": 2.5, "d": [-1, 1, -2], "tag": {"k": "x"}, "ok": False}
+    (tmp_path / "r.proto").write_text(text)
+    (tmp_path / "in.txt").write_text(base64.b64encode(raw).decode() + "\n!!\n" + base64.b64encode(raw[:5]).decode() + "\n")
+    e = Engine(spark)
+    e.define(f'CREATE STREAM p () WITH (TYPE="mqtt", LANDING="{tmp_path}/in.txt", FORMAT="PROTOBUF", SCHEMA="{tmp_path}/r.proto", MESSAGE="Reading")')
+    assert [tuple(r) for r in e.sql("SELECT id, v, d[0] AS d, tag.k AS k FROM p").collect()] == [(150, 2.5, -1, "x")]
+
+
+def test_error_policies(spark, tmp_path):
+    e = Engine(spark)
+    e.register("s", spark.createDataFrame([(0,), (2,)], "v long"))
+    text = "SELECT 4 / v AS x FROM s"
+    with pytest.raises(RuntimeError, match="divided by zero"):
+        Rule("r", text, options={"onError": "halt"}).run(e)
+    plan = Rule("r", text, actions=[{"nop": {}}], options={"onError": "dlq", "dlqPath": str(tmp_path / "dlq")}).run(e)
+    assert [r.x for r in plan.rows.collect()] == [2.0]
+    assert json.loads(spark.read.text(str(tmp_path / "dlq")).collect()[0].value)["row"] == '{"v":0}'
