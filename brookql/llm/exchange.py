@@ -69,7 +69,7 @@ def blocks(df: DataFrame, key: str, n: int, columns: list[str]) -> DataFrame:
     driver, whatever the input), so parts hold about equal numbers of rows.
     """
     probs = [i / n for i in range(1, n)]
-    bounds = df.select(F.col(key)).where(F.col(key).isNotNull()).select(F.percentile_approx(key, probs, 20 * n)).head()[0] if n > 1 else []
+    bounds = df.select(F.col(key)).where(F.col(key).isNotNull()).select(F.percentile_approx(key, probs, min(20 * n, 1_000_000))).head()[0] if n > 1 else []
     bounds = sorted(set(bounds or []))
     part = F.lit(0)
     if bounds:
