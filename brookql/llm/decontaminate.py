@@ -208,5 +208,22 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+_CUT = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH items AS (SELECT item_id, {_CUT} AS ws FROM benchmark),
+phrases AS (SELECT item_id, size, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS w FROM
+  (SELECT item_id, ws, least(13, len(ws)) AS size, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM items WHERE len(ws) > 0)),
+texts AS (SELECT doc_id, {_CUT} AS ws FROM documents),
+places AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM texts),
+windows AS (SELECT doc_id, p, list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS l FROM places),
+found AS (SELECT d.doc_id, d.p, b.size, b.item_id FROM (SELECT doc_id, p, size, array_to_string(list_slice(l, 1, size), ' ') AS w
+  FROM windows, (SELECT DISTINCT size FROM phrases) WHERE len(l) >= size) d JOIN phrases b ON d.size = b.size AND d.w = b.w),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM found) GROUP BY doc_id),
+owned AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN owned USING (doc_id)
+"""
+
 QUERIES = {"op9_benchmark_decontamination": op9_benchmark_decontamination}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op9_benchmark_decontamination": SQL}

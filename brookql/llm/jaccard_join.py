@@ -216,5 +216,19 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(spark.read.parquet(f"{sf_dir}/documents.parquet")).documents()
 
 
+SQL = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM texts),
+grams AS (SELECT doc_id, p, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS g FROM places),
+sets AS (SELECT DISTINCT doc_id, g FROM grams WHERE p <= greatest(n - 3, 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * o >= 85 * (s.n + t.n - o)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, least(t.doc_id, coalesce(c.y, t.doc_id)) AS component_id
+FROM texts t LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) c ON c.x = t.doc_id
+"""
+
 QUERIES = {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_ngram_jaccard_join": SQL}

@@ -188,5 +188,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM texts),
+windows AS (SELECT doc_id, p, w FROM (SELECT doc_id, p, string_agg(word, ' ') OVER seq AS w, count(*) OVER seq AS n FROM places
+  WINDOW seq AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)) WHERE n = 13),
+firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM windows JOIN firsts USING (w) WHERE first < doc_id),
+marked AS (SELECT l.doc_id, l.p, l.word, g.p IS NOT NULL AS hit FROM places l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.p = g.p),
+runs AS (SELECT *, hit AND NOT coalesce(lag(hit) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM marked),
+sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE hit) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT hit) AS kept,
+  count(*) FILTER (WHERE starts) AS n_factors FROM runs GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_factors, 0) AS n_factors
+FROM texts t LEFT JOIN sums USING (doc_id)
+"""
+
 QUERIES = {"op4_substring_dedup": op4_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_substring_dedup": SQL}

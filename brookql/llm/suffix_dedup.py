@@ -496,5 +496,19 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+SQL = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 200)) AS w FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM texts WHERE len(h) >= 200)),
+ordered AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM starts),
+cuts AS (SELECT doc_id, i, i + 100 AS j FROM ordered WHERE again),
+fresh AS (SELECT *, i > coalesce(lag(j) OVER (PARTITION BY doc_id ORDER BY i), -1) AS f FROM cuts),
+spans AS (SELECT doc_id, min(i) AS i, max(j) AS j FROM (SELECT *, count(*) FILTER (WHERE f) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM fresh) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, i, j, lag(j) OVER (PARTITION BY doc_id ORDER BY i) AS before, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM spans),
+kept AS (SELECT doc_id, count(*) AS n, sum(j - i) AS gone, string_agg(substr(h, 2 * coalesce(before, 0) + 1, 2 * (i - coalesce(before, 0))) || CASE WHEN after IS NULL THEN substr(h, 2 * j + 1) ELSE '' END, '' ORDER BY i) AS h
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, len(t.h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+"""
+
 QUERIES = {"op2_suffix_array_dedup": op2_suffix_array_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_suffix_array_dedup": SQL}

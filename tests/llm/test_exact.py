@@ -266,7 +266,7 @@ def test_url_edges(spark):
     assert url_reputation.judge(pages.limit(0), labels.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_source_mixing", "op6_url_reputation"])
+@pytest.mark.parametrize("name", ["op1_source_mixing", "op2_suffix_array_dedup", "op4_substring_dedup", "op6_url_reputation", "op9_benchmark_decontamination", "op10_ngram_jaccard_join"])
 def test_sql(spark, name):
     from brookql.llm.registry import ORACLE_SQL, QUERIES
 
