@@ -94,6 +94,8 @@ class Source:
     def coerce(self, strict: bool = False) -> tuple[DataFrame, list]:
         """The DataFrame with declared columns coerced, and error columns if strict."""
         df, errors = self.df, []
+        if not self.columns:
+            return df, errors
         have = {c.lower(): c for c in df.columns}
         out = []
         for d in self.columns:
@@ -115,27 +117,27 @@ class Source:
         if errors:
             # judged on the values as they came
             out.append(F.coalesce(*errors).alias("__bad"))
-        return df.select(*out) if self.columns else df, [F.col("__bad")] if errors else []
+        return df.select(*out), [F.col("__bad")] if errors else []
 
     def frame(self, strict: bool = False) -> tuple[DataFrame, list]:
         """Coerced rows with times in milliseconds, __ts and __seq, and the rows' error columns."""
         df, errors = self.coerce(strict)
-        raw = self.df
         if self.table and (key := self.options.get("KEY") or self.options.get("PRIMARY_KEY")):
             latest = Window.partitionBy(*[k.strip() for k in key.split(",")]).orderBy(F.desc("__seq"))
             df = df.withColumn("__seq", self._seq(df)).withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
         elif self.table and (keep := self.options.get("RETAIN_SIZE")):
             df = df.withColumn("__seq", self._seq(df)).orderBy(F.desc("__seq")).limit(int(keep))
-        elif "__seq" not in df.columns:
-            df = df.withColumn("__seq", self._seq(df))
-        times = [f.name for f in raw.schema if isinstance(f.dataType, T.TimestampType | T.TimestampNTZType | T.DateType)]
-        for c in times:
-            if c in df.columns and not isinstance(df.schema[c].dataType, T.LongType):
-                df = df.withColumn(c, F.unix_millis(quoted(c).cast("timestamp")))
-        stamp = self.options.get("TIMESTAMP") or next((c for c in TIME_NAMES if c in df.columns), None)
-        if stamp is None:
-            return df.withColumn("__ts", F.lit(0).cast("long")), errors
-        return df.withColumn("__ts", as_millis(Val(quoted(stamp), df.schema[stamp].dataType))), errors
+        # every other column in one step: each step is another analysis of the plan
+        schema, more = df.schema, {}
+        if "__seq" not in schema.names:
+            more["__seq"] = self._seq(df)
+        times = (T.TimestampType, T.TimestampNTZType, T.DateType)
+        for f in schema:
+            if isinstance(f.dataType, times):
+                more[f.name] = F.unix_millis(quoted(f.name).cast("timestamp"))
+        stamp = self.options.get("TIMESTAMP") or next((c for c in TIME_NAMES if c in schema.names), None)
+        more["__ts"] = F.lit(0).cast("long") if stamp is None else more[stamp] if stamp in more else as_millis(Val(quoted(stamp), schema[stamp].dataType))
+        return df.withColumns(more), errors
 
     def _seq(self, df: DataFrame):
         if not self.order:
