@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brookql.functions.values import CompileError, Val, as_double, as_long, as_string, boolean, clamp_index, double, function, long, null, string
+from brookql.functions.values import CompileError, Val, as_double, as_long, as_string, boolean, double, function, long, null, string
 
 
 def _item(ctx, a: Val, v: Val):
