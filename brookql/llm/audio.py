@@ -16,8 +16,9 @@ bytes and one block.  All arithmetic depends on the clip alone: equal clips have
 features, whatever batch they are in.
 
 Defined results: a null text is the empty payload, padded to 64 zero bytes like any
-other; a clip shorter than a frame is zero-padded to one frame.  A file that is no
-8-bit mono WAV raises ValueError.  Repeated rows give repeated rows.
+other; frames go on until the last one holds the last resampled sample that any byte
+reaches, and are zero-padded beyond it, so a short clip has one frame.  A file that is
+no 8-bit mono WAV raises ValueError.  Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -89,6 +90,12 @@ def resample(x: np.ndarray, first: int, n: int, up: int = UP, down: int = DOWN,
     return out
 
 
+def n_frames(samples: int) -> int:
+    """Frames over a clip, its resampled tail (where the filter still reaches the last samples) included."""
+    n = -(-(samples + TAPS - 1) * UP // DOWN)
+    return max(1, 1 - (FRAME - n) // HOP)
+
+
 def mel_bank(rate: float, frame: int, bands: int) -> np.ndarray:
     """[frequency, band]: triangles evenly spaced on the mel scale 2595 log10(1 + f / 700)."""
     top = 2595 * np.log10(1 + rate / 2 / 700)
@@ -105,8 +112,7 @@ _WINDOW = np.hanning(FRAME + 1)[:-1]
 
 def log_mel(x: np.ndarray):
     """(first frame, log-mel rows, log energies) a block of frames, over the whole clip."""
-    n = -(-len(x) * UP // DOWN)
-    frames = max(1, 1 + (n - FRAME) // HOP)
+    frames = n_frames(len(x))
     for f in range(0, frames, BLOCK):
         k = min(BLOCK, frames - f)
         y = resample(x, f * HOP, (k - 1) * HOP + FRAME)
@@ -128,8 +134,7 @@ def segments(energy: np.ndarray) -> np.ndarray:
 def clip_features(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(tensor [BINS, BANDS] float32, spans [n, 2] in seconds) of one clip."""
     x = np.frombuffer(samples, np.uint8)
-    n = -(-len(x) * UP // DOWN)
-    frames = max(1, 1 + (n - FRAME) // HOP)
+    frames = n_frames(len(x))
     sums, sizes, energy = np.zeros((BINS, BANDS)), np.zeros(BINS), np.empty(frames)
     for f, mel, e in log_mel(x):
         where = (np.arange(f, f + len(e)) * BINS) // frames

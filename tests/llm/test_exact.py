@@ -223,6 +223,16 @@ def test_audio(awkward):
         audio.decode_wav(b"RIFFxxxx")
 
 
+@pytest.mark.parametrize("size", [64, 448, 512, 576, 704, 768, 1024, 4096])
+def test_audio_features_reach_the_last_bytes(size):
+    rng = random.Random(size)
+    text = bytes(rng.randrange(97, 123) for _ in range(size))
+    marks = lambda x: np.round(audio.clip_features(x)[0].astype(float) * 64).tolist()
+    assert marks(text) != marks(text[:-16] + b"A " * 8)
+    n = -(-(size + audio.TAPS - 1) * audio.UP // audio.DOWN)
+    assert (audio.n_frames(size) - 1) * audio.HOP + audio.FRAME >= n > (audio.n_frames(size) - 2) * audio.HOP + audio.FRAME or audio.n_frames(size) == 1
+
+
 def rows_size(df, i):
     return len(df.where(f"doc_id = {i}").collect()[0].text.encode())
 
