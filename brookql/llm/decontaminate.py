@@ -42,6 +42,14 @@ BATCH_BYTES = 8 << 20
 INDEX_SCHEMA = "ids binary, rows binary, terms binary, first binary, places binary"
 
 
+def _postings(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, first, places): places[first[i]:first[i+1]] are the word positions of terms[i]."""
+    order = np.argsort(w.hash, kind="stable")
+    h = w.hash[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.append(first, len(h)), order
+
+
 def _indexer(key: str, text: str):
     def run(batches):
         for batch in batches:
@@ -49,15 +57,13 @@ def _indexer(key: str, text: str):
             null = ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
             for lo, hi, w in words_of(batch.column(text), ALNUM, True, BLOCK_BYTES):
-                order = np.argsort(w.hash, kind="stable")
-                h = w.hash[order]
-                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+                terms, first, places = _postings(w)
                 yield pa.RecordBatch.from_pydict({
                     "ids": [ids[lo:hi].tobytes() + null[lo:hi].tobytes()],
                     "rows": [w.rows.astype("<i8").tobytes()],
-                    "terms": [h[first].tobytes()],
-                    "first": [np.append(first, len(h)).astype("<u4").tobytes()],
-                    "places": [order.astype("<u4").tobytes()],
+                    "terms": [terms.tobytes()],
+                    "first": [first.astype("<u4").tobytes()],
+                    "places": [places.astype("<u4").tobytes()],
                 })
 
     return run
@@ -161,6 +167,10 @@ def _searcher(batches_of_phrases: list, slop: int, emit):
     return run
 
 
+def _contaminated(hits: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return (hits > 0) & (20 * hits >= words)
+
+
 def _digest(key: str):
     def emit(block, hit, owned) -> pa.RecordBatch:
         n = len(block["ids"])
@@ -172,7 +182,7 @@ def _digest(key: str):
             "n_hit": pa.array(hits, pa.int64()),
             "n_items": pa.array([len(x) for x in items], pa.int64()),
             "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
-            "contaminated": pa.array((hits > 0) & (20 * hits >= words)),
+            "contaminated": pa.array(_contaminated(hits, words)),
         })
 
     return emit
@@ -197,10 +207,25 @@ def search(index: DataFrame, items: DataFrame, key: str = "doc_id", item_key: st
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that `search` finds contaminated; rows without an id are judged by their text alone."""
-    judged = search(build_index(docs, key, text), items, key)
-    bad = ex.stored(judged.where("contaminated").select(key).distinct(), "leaks")
-    return docs.join(bad, docs[key].eqNullSafe(bad[key]), "left_anti")
+    """docs without the rows that `search` finds contaminated, each row judged by its own text whatever its id.
+
+    One pass: a block's postings are built, asked and dropped, and its rows filtered.
+    """
+    sent = phrase_batches(items, "item_id", "text", WINDOW)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, w in words_of(batch.column(text), ALNUM, True, BLOCK_BYTES):
+                terms, first, places = _postings(w)
+                block = {"rows": w.rows, "terms": terms, "first": first, "places": places}
+                hit = np.zeros(int(w.rows[-1]), bool)
+                for phrases in sent:
+                    phrase, start = _find(block, phrases.value, 0)
+                    if len(phrase):
+                        hit |= covered(len(hit), start, start + phrases.value.size[phrase])
+                yield batch.slice(lo, hi - lo).filter(pa.array(~_contaminated(row_sums(hit, w.rows), np.diff(w.rows))))
+
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

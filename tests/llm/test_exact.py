@@ -200,6 +200,16 @@ def test_decontamination(spark, request, table):
     assert collections.Counter(map(tuple, again.collect())) == collections.Counter(map(tuple, got.collect()))
 
 
+def test_clean_judges_rows_not_ids(spark):
+    leak = " ".join(f"q{i}" for i in range(20))
+    rows = [(None, leak), (None, "a clean text"), (None, None), (5, leak), (5, "another clean text"), (6, "w " * 30), (7, "x " * 500 + leak)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    items = spark.createDataFrame([(1, leak), (2, "other words")], "item_id long, text string")
+    assert sorted(r.n for r in decontaminate.clean(docs, items).collect()) == [1, 2, 4, 5, 6]
+    judged = decontaminate.search(decontaminate.build_index(docs.drop("doc_id").withColumnRenamed("n", "doc_id").selectExpr("cast(doc_id as long) doc_id", "text")), items)
+    assert sorted(r.doc_id for r in judged.where("not contaminated").collect()) == [1, 2, 4, 5, 6]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha x beta gamma"), (3, "gamma beta alpha"), (4, "alpha x y z beta gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
