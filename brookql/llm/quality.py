@@ -3,15 +3,22 @@
 Two views describe a document: its text (shape and repetition of bytes, words and
 lines, and hashed trigrams of bytes) and its metadata (source, language, recorded
 length).  Each view has a linear classifier.  Starting from labelled documents, in
-each round either classifier labels those documents of an unlabelled pool that it is
-surest of, and hands them to the *other* view's training set.  Both are then
-calibrated on labelled documents kept out of training (Platt scaling), and their
-log-odds are added with weights fitted on the same documents; that score is computed
-for every document.
-
-Fitting uses at most `SAMPLE` labelled documents of either label and `POOL`
-unlabelled ones, those of least hash; they are fetched as fixed-width feature rows.
-Scoring reads every document's whole text.
+each round either classifier labels all unlabelled documents that it is sure of, and
+hands them to the *other* view's training set.  Both are then calibrated on labelled
+documents kept out of training (Platt scaling), and their log-odds are added with
+weights fitted on the same documents; that score is computed for every document.
+
+Fitting uses at most `SAMPLE` labelled documents of either label, those of least hash,
+fetched as fixed-width feature rows, and every unlabelled document.  A round is one
+pass over the unlabelled documents on the executors: each task adds up, for either
+view and label, the gradient of the loss over the documents handed over and the
+curvature of a quadratic bound on it, and the sums of all tasks, with those of the
+labelled rows, give one step of the view to the bound's least point.  No document leaves
+the executors; labelled ids are sent to them, eight bytes each.  Labels are given anew
+in each round.  Scoring reads every document's whole text.
+
+An unlabelled document has no label or no id; labelled ones beyond the sample are not
+handed over.
 
 Defined results: null and empty texts get the features of an empty text; a null
 source, language or length is a value of its own.  Labels without a document are left
@@ -33,9 +40,8 @@ from brookql.llm.text import SPACED, Words, chunks, lean, prefix_hash, row_sums,
 
 U64 = np.uint64
 SAMPLE = 4000
-POOL = 4000
 ROUNDS = 3
-HANDED = 200
+PARTS = 16
 SURE = 0.95
 THRESHOLD = 0.3
 GRAMS = 512
@@ -124,6 +130,32 @@ class View:
         z = np.clip((x - self.mean) / self.scale, -5, 5)
         return z / np.sqrt(z.shape[1])
 
+    def sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """[label, ...]: for rows of either label their number, the loss's gradient and the curvature of its bound, flat."""
+        z = np.column_stack([self._unit(x), np.ones(len(x), np.float32)]).astype(float)
+        m = z @ np.append(self.w, self.b)
+        p = sigmoid(m)
+        # the loss of a row lies below the parabola of this curvature that touches it at m
+        bend = np.where(np.abs(m) < 1e-6, 0.25, (p - 0.5) / np.where(m == 0, 1, m))
+        out = []
+        for label in (0, 1):
+            mine = y == label
+            a, q, c = z[mine], p[mine], bend[mine]
+            out.append(np.concatenate([[len(a)], a.T @ (q - label), ((a.T * c) @ a)[np.triu_indices(z.shape[1])]]))
+        return np.stack(out)
+
+    def step(self, sums: np.ndarray, l2: float = 1e-3) -> None:
+        """One step, which never raises it, on the balanced loss of all rows that `sums` adds up."""
+        d = len(self.w) + 1
+        share = 0.5 / np.maximum(sums[:, 0], 1)
+        flat = (share[:, None] * sums[:, 1:]).sum(axis=0)
+        upper = np.zeros((d, d))
+        upper[np.triu_indices(d)] = flat[d:]
+        ridge = np.append(np.full(d - 1, l2), 1e-9)
+        at = np.append(self.w, self.b)
+        move = np.linalg.solve(upper + np.triu(upper, 1).T + np.diag(ridge), flat[:d] + np.append(l2 * self.w, 0))
+        self.w, self.b = (at - move)[:-1], float((at - move)[-1])
+
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.a * (self._unit(x) @ self.w + self.b) + self.c
 
@@ -146,28 +178,31 @@ class Model:
         return sigmoid(m), sigmoid(m @ self.weights + self.bias)
 
 
-def co_train(xs: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], fold: np.ndarray, rounds: int = ROUNDS, handed: int = HANDED) -> Model:
+def handed(views: list[View], xs: list[np.ndarray]) -> list[np.ndarray]:
+    """For either view, sums of the rows that the other view is sure of."""
+    out = []
+    for v in (0, 1):
+        p = sigmoid(views[1 - v].margin(xs[1 - v]))
+        sure = (p >= SURE) | (1 - p >= SURE)
+        out.append(views[v].sums(xs[v][sure], (p[sure] >= SURE).astype(float)))
+    return out
+
+
+def co_train(xs: list[np.ndarray], y: np.ndarray, ask, fold: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """ask(views) gives the sums of handed() over all unlabelled documents."""
     held = fold == 0
     if y.min(initial=1) == y.max(initial=0) or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         return Model([], np.zeros(2), 0.0, float(y.mean()) if len(y) else 1.0)
-    train = [[x[~held]] for x in xs]
-    truth = [[y[~held]], [y[~held]]]
-    free = np.ones(len(pool[0]), bool)
-    for turn in range(rounds + 1):
-        views = [View(np.concatenate(t), np.concatenate(l)) for t, l in zip(train, truth)]
-        if turn == rounds:
-            break
+    views = [View(x[~held], y[~held]) for x in xs]
+    for _ in range(rounds):
         for v in (0, 1):
             # confidence is only worth handing on once it is calibrated
+            views[v].a, views[v].c = 1.0, 0.0
             views[v].calibrate(xs[v][~held], y[~held])
-            p = sigmoid(views[v].margin(pool[v]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.flatnonzero(free & (sure >= SURE))
-                best = best[np.argsort(-sure[best], kind="stable")][:handed]
-                free[best] = False
-                train[1 - v].append(pool[1 - v][best])
-                truth[1 - v].append(np.full(len(best), label))
+        for view, x, given in zip(views, xs, ask(views)):
+            view.step(view.sums(x[~held], y[~held]) + given)
     for v in (0, 1):
+        views[v].a, views[v].c = 1.0, 0.0
         views[v].calibrate(xs[v][held], y[held])
     none = Sparse.of([np.zeros(0, np.int64)] * int(held.sum()), 1)
     m = np.column_stack([view.margin(x[held]) for view, x in zip(views, xs)])
@@ -180,13 +215,11 @@ def _views(batch, lo: int, hi: int, data, offsets, source: str, lang: str, chars
     return [text_features(data, offsets), meta_features(*(part.column(c).to_pylist() for c in (source, lang, chars)))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", source: str = "source", lang: str = "lang", chars: str = "n_chars", sample: int = SAMPLE, pool: int = POOL) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", source: str = "source", lang: str = "lang", chars: str = "n_chars", sample: int = SAMPLE) -> Model:
     one = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("y"))
     order = F.xxhash64(F.col(key))
-    ids = docs.select(key).where(F.col(key).isNotNull())
-    free = ids.join(one, key, "left_anti").distinct().withColumn("y", F.lit(-1)).orderBy(order, key).limit(pool)
-    chosen = one.where("y = 1").orderBy(order, key).limit(sample).union(one.where("y = 0").orderBy(order, key).limit(sample)).union(free)
-    # at most 2 * sample + pool rows of (id, label)
+    chosen = one.where("y = 1").orderBy(order, key).limit(sample).union(one.where("y = 0").orderBy(order, key).limit(sample))
+    # at most 2 * sample rows of (id, label)
     rows = docs.select(key, text, source, lang, chars).join(F.broadcast(chosen), key)
 
     def featured(batches):
@@ -202,8 +235,44 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     xs = [np.frombuffer(b"".join(v.as_py() for v in got.column(c)), np.float32).reshape(len(y), -1) if len(y) else np.zeros((0, 1), np.float32) for c in ("t", "m")]
     turn = np.lexsort([xs[0][:, 0], ids]) if len(y) else np.zeros(0, np.int64)
     ids, y, xs = ids[turn], y[turn], [x[turn] for x in xs]
-    known = y >= 0
-    return co_train([x[known] for x in xs], y[known].astype(float), [x[~known] for x in xs], folds(ids[known], 4))
+    named = docs.sparkSession.sparkContext.broadcast(np.sort(one.select(F.col(key).cast("long")).toArrow().column(0).to_numpy()))
+    return co_train(xs, y.astype(float), lambda views: _asked(docs, named, views, key, text, source, lang, chars), folds(ids, 4))
+
+
+def _asked(docs: DataFrame, named, views: list[View], key: str, text: str, source: str, lang: str, chars: str) -> list[np.ndarray]:
+    """The sums of handed() over all rows of docs whose id is not among `named`, a flat array cut into PARTS and added up on the executors."""
+    sent = docs.sparkSession.sparkContext.broadcast(views)
+    ddl = "part int, sums binary"
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            ids = batch.column(key).cast(pa.int64())
+            plain = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(named.value, plain)
+            labelled = (at < len(named.value)) & (named.value[np.minimum(at, len(named.value) - 1)] == plain) if len(named.value) else np.zeros(len(plain), bool)
+            batch = batch.filter(pa.array(ids.is_null().to_numpy(zero_copy_only=False) | ~labelled))
+            data, offsets = utf8(batch.column(text))
+            for lo, hi in chunks(offsets, rows=512):
+                a, b = offsets[lo], offsets[hi]
+                flat = np.concatenate([g.ravel() for g in handed(sent.value, _views(batch, lo, hi, data[a:b], offsets[lo : hi + 1] - a, source, lang, chars))])
+                total = flat if total is None else total + flat
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in np.array_split(total, PARTS)], pa.binary())], names=["part", "sums"])
+
+    def fold(batches):
+        total = {}
+        for batch in batches:
+            for part, raw in zip(batch.column("part").to_pylist(), batch.column("sums")):
+                got = np.frombuffer(raw.as_py())
+                total[part] = total[part] + got if part in total else got
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([p.tobytes() for p in total.values()], pa.binary())], names=["part", "sums"])
+
+    got = docs.select(key, text, source, lang, chars).mapInArrow(lean(add), ddl).repartition(PARTS, "part").mapInArrow(lean(fold), ddl).collect()
+    shapes = [(2, 1 + d + d * (d + 1) // 2) for d in (len(v.w) + 1 for v in views)]
+    flat = np.concatenate([np.frombuffer(r.sums) for r in sorted(got, key=lambda r: r.part)]) if got else np.zeros(sum(a * b for a, b in shapes))
+    cut = shapes[0][0] * shapes[0][1]
+    return [flat[:cut].reshape(shapes[0]), flat[cut:].reshape(shapes[1])]
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", chars: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:

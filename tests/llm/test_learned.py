@@ -2,10 +2,12 @@
 
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from brookql.llm import language_id, quality, toxicity
+from brookql.llm.text import utf8
 
 FOLDER = "/root/testdata/sf0.1"
 SMALL = "/root/testdata/sf0.001"
@@ -75,6 +77,27 @@ def test_quality(spark, docs, labels, awkward):
     assert quality.score(awkward, blank).where("keep").count() == awkward.count()
 
 
+def test_quality_asks_every_unlabelled_document(spark, docs, labels, monkeypatch):
+    seen, asked = [], quality._asked
+
+    def count(table, named, views, *columns):
+        out = asked(table, named, views, *columns)
+        # the sums over all tasks are those of one table of all unlabelled rows
+        rows = free.toArrow()
+        data, offsets = utf8(rows.column("text").combine_chunks())
+        want = quality.handed(views, [quality.text_features(data, offsets), quality.meta_features(*(rows.column(c).to_pylist() for c in ("source", "lang", "n_chars")))])
+        assert all(np.allclose(a, b, rtol=1e-4, atol=1e-3) for a, b in zip(out, want))
+        seen.append((rows.num_rows, out[1][:, 0].sum()))
+        return out
+
+    monkeypatch.setattr(quality, "_asked", count)
+    some = labels.where("doc_id % 40 = 0")
+    free = docs.join(some, "doc_id", "left_anti")
+    quality.fit(docs, some)
+    # more than the 4,000 of a former pool and the 400 a round of a former cap
+    assert len(seen) == quality.ROUNDS and all(n > 4000 and given > 400 for n, given in seen)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeated_passages", "benchmark_leaks", "source_mixing"]
