@@ -8,9 +8,12 @@ drawing again gives the same corpus, on any cluster, and a document's draw does
 depend on any other document.  Copies are dealt out by a hash of seed, id and copy
 number, and sorted by it: a global shuffle.
 
-Only counts by source are aggregated (pre-aggregated by task).  Rates are broadcast
-while there are at most `BROADCAST_SOURCES` sources, which is counted; beyond that
-they are joined by shuffle, where adaptive execution splits a hot source.  The only
+Only counts by source are aggregated (pre-aggregated by task).  A source's distribution
+function is tabled once, over the 12 standard deviations about its mean outside which no
+hashed number falls, so a rate r takes about 24 sqrt(r) numbers; a document's number is
+found in it by binary search.  Tables are broadcast while they have at most
+`BROADCAST_NUMBERS` numbers in all (8 MB), which is summed first; beyond that they are
+joined by shuffle, where adaptive execution splits a hot source.  The only
 exchange of texts is the shuffle itself, and its key is a hash, so a source that
 holds a third of all documents lands in no single task.
 
@@ -18,16 +21,17 @@ Defined results: rows of a null source form a source of their own, which takes t
 weight given for None, else the default weight.  Documents with equal ids, or none,
 share one draw.  Sources of weight 0 vanish; an empty table stays empty.  A source
 whose weight is listed but that has no documents counts for nothing: the weights of
-present sources are rescaled.  Extra columns stay as they are, but for one named
-`copy`, which becomes `copy_in`.
+present sources are rescaled.  Texts of any length, null texts and repeated rows are
+moved as they are.  Extra columns stay as they are, but for one named `copy`, which
+becomes `copy_in` (`copy_in_in` if there is a `copy_in` too, and so on).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_SOURCES = 20_000
+BROADCAST_NUMBERS = 1_000_000
 SEED = 17
 
 
@@ -48,17 +52,38 @@ def source_rates(docs: DataFrame, weights: dict | None = None, default: float =
     return rated.crossJoin(F.broadcast(sums)).select("source", "n", rate.alias("rate"))
 
 
-def poisson_cdf(rate):
-    """P(N <= k) for k = 0, 1, ... as an array, up to where the rest is far below any hashed number."""
-    steps = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int"))
-    first = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("cdf"))
+def _log_factorial(k):
+    """ln k!, by Stirling's series; meant for 0 and for large k."""
+    x = k + 1.0
+    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
+    return F.when(k > 0, series).otherwise(0.0)
 
-    def step(acc, k):
-        log_p = acc["log_p"] + F.log(rate) - F.log(k.cast("double"))
-        total = acc["sum"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("sum"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
 
-    return F.when(rate > 0, F.aggregate(steps, first, step, lambda acc: acc["cdf"])).otherwise(F.array(F.lit(1.0)))
+def bounds_of(rate):
+    """The least and greatest number that a Poisson variable of this rate takes, but for a chance far below any hashed number's."""
+    spread = 12 * F.sqrt(rate) + 40
+    return F.greatest(F.lit(0.0), F.floor(rate - spread)).cast("double"), F.ceil(rate + spread).cast("double")
+
+
+def poisson_tables(rates: DataFrame) -> DataFrame:
+    """(source, lo, cdf, steps): cdf[i] = P(N <= lo + i); steps are those of a binary search in cdf."""
+    lo, hi = bounds_of(F.col("rate"))
+    ranged = rates.where("rate > 0").withColumn("lo", lo).withColumn("hi", hi)
+    rows = ranged.select("source", "rate", "lo", F.explode(F.sequence(F.col("lo").cast("long"), F.col("hi").cast("long"))).alias("i")).withColumn("k", F.col("i").cast("double"))
+    run = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("lo") * F.log("rate") - F.col("rate") - _log_factorial(F.col("lo"))
+    log_p = F.sum(F.when(F.col("k") > F.col("lo"), F.log("rate") - F.log("k")).otherwise(first)).over(run)
+    summed = rows.withColumn("log_p", log_p).withColumn("c", F.sum(F.exp("log_p")).over(run))
+    listed = summed.groupBy("source").agg(F.first("lo").cast("int").alias("lo"), F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
+    last = F.floor(F.log2(F.size("cdf"))).cast("int")
+    return listed.withColumn("steps", F.transform(F.sequence(last, F.lit(0)), lambda b: F.pow(F.lit(2.0), b).cast("int")))
+
+
+def poisson_number(u):
+    """How many of (lo, cdf, steps)'s numbers lie below u's: the distribution inverted at u, by binary search."""
+    n = F.size("__mix_cdf")
+    at = F.aggregate("__mix_steps", F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get("__mix_cdf", at + step - 1) <= u), at + step).otherwise(at))
+    return F.col("__mix_lo") + at
 
 
 def hashed_uniform(*parts):
@@ -70,14 +95,19 @@ def hashed_uniform(*parts):
 def mix(docs: DataFrame, weights: dict | None = None, default: float = 1.0, total: float | None = None, seed: int = SEED, key: str = "doc_id", source: str = "source") -> DataFrame:
     """docs' columns and `copy` (1, 2, ...), a row a copy, in shuffled order."""
     if "copy" in docs.columns:
-        docs = docs.withColumnRenamed("copy", "copy_in")
+        name = "copy_in"
+        while name in docs.columns:
+            name += "_in"
+        docs = docs.withColumnRenamed("copy", name)
     rates = source_rates(docs, weights, default, total, source)
-    rates = rates.select(F.col("source").alias("__mix_source"), poisson_cdf(F.col("rate")).alias("__mix_cdf"))
-    if rates.count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    drawn = docs.join(rates, docs[source].eqNullSafe(rates["__mix_source"]))
+    lo, hi = bounds_of(F.col("rate"))
+    numbers = rates.where("rate > 0").agg(F.coalesce(F.sum(hi - lo + 1), F.lit(0.0))).head()[0]
+    tables = poisson_tables(rates).select(F.col("source").alias("__mix_source"), F.col("lo").alias("__mix_lo"), F.col("cdf").alias("__mix_cdf"), F.col("steps").alias("__mix_steps"))
+    if numbers <= BROADCAST_NUMBERS:
+        tables = F.broadcast(tables)
+    drawn = docs.join(tables, docs[source].eqNullSafe(tables["__mix_source"]))
     drawn = drawn.withColumn("__mix_u", hashed_uniform(F.lit(seed), F.col(key)))
-    drawn = drawn.withColumn("__mix_n", F.size(F.filter("__mix_cdf", lambda c: c <= F.col("__mix_u")))).where("__mix_n > 0")
+    drawn = drawn.withColumn("__mix_n", poisson_number(F.col("__mix_u"))).where("__mix_n > 0")
     copies = drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__mix_n"))).alias("copy"))
     place = F.xxhash64(F.lit(seed), F.col(key), F.col("copy"))
     return copies.withColumn("__mix_place", place).repartition("__mix_place").sortWithinPartitions("__mix_place", key, "copy").drop("__mix_place")
