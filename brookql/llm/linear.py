@@ -31,6 +31,10 @@ class Sparse:
     def dot_t(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.column, self.value * x[self.row], minlength=self.width)
 
+    def only(self, columns: np.ndarray) -> Sparse:
+        """The same rows without the columns that are not set in `columns`."""
+        return Sparse(self.bounds, self.column, self.value * columns[self.column], self.width)
+
     def take(self, rows: np.ndarray) -> Sparse:
         size = np.diff(self.bounds)[rows]
         bounds = np.concatenate([[0], np.cumsum(size)])

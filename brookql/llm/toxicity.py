@@ -2,99 +2,139 @@
 
 The categories are predicted one after the other; the linear model of each also gets
 the probabilities of the categories before it.  In training those are out-of-fold: a
-document's earlier probabilities come from models fitted without its fold, so later
-models see them as wrong as they will be on new documents.
+document's earlier probabilities come from models fitted without its fold, features
+selected without it too, so later models see them as wrong as they will be on new
+documents.  Equal texts share a fold.
+
+A category is a column of the labels and the value that counts as yes; the last one is
+what `toxic` reports.  The labels at hand have one toxicity column and one of quality,
+so the chain is low quality, then toxicity.  A document whose label of a category is
+null takes no part in that category's fitting.
 
 Features are the words of a text and their beginnings of 4 to 7 bytes, present or
-not.  The vocabulary is selected from the labelled sample by likelihood ratio (G2),
-against a bar that rises with the number of features tried; features that single out
-toxic texts are kept.  Categories of a single toxic label are told apart by what
-gives a text away: `term` (a whole word that stands out), `stem` (the beginning of
-inflected words), and last the label itself, `toxic`.
+not.  A category's features are selected by likelihood ratio (G2) against a bar that
+rises with the number of features tried; features that single out the category are kept,
+as many as pass.
 
-Fitting uses at most `SAMPLE` labelled documents of either label, those of least
-hash; their features are counted on the executors, and the driver gets at most
-`VOCABULARY` features and the sample's matches with them.  Scoring reads every
-document's whole text.
+Fitting uses at most `SAMPLE` labelled documents of either value of the last category,
+those of least hash, written to the shared folder once; features are counted on the
+executors, and the driver gets those that pass the bar, which the sample bounds, and
+the sample's matches with them.  Scoring reads every document's whole text.
 
 Defined results: null and empty texts have no features and get the models' bias.
-Labelled ids without a document are left out; several labels for one id count as
-toxic if any is.  Without labels, or with one label only, nothing is toxic and all
-probabilities are the label's share.  Rows without an id are scored like others.
+Labelled ids without a document are left out; several labels for one id count as yes if
+any is.  Without labels, or with one label of the last category only, nothing is toxic
+and all probabilities are the label's share.  Rows without an id are scored like others,
+as are repeated rows, each by its own text.  Ties in selection go by feature hash.  Very
+long texts are scored whole, one at a time (text.py).  Columns beyond id and text are
+not looked at by `score`, and stay as they are in `keep_clean`, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookql.llm.linear import Sparse, folds, logistic, sigmoid
-from brookql.llm.text import ALNUM, LOWER, distinct, lean, prefix_hash, span_hash, words_of
+from brookql.llm.exchange import stored
+from brookql.llm.linear import Sparse, logistic, sigmoid
+from brookql.llm.text import ALNUM, LOWER, distinct, lean, word_hash, words_of
 
 U64 = np.uint64
 SAMPLE = 10_000
-VOCABULARY = 4096
 FOLDS = 5
 STEMS = (4, 5, 6, 7)
-CATEGORIES = ("term", "stem", "toxic")
+#: (name, column of the labels, value that counts as yes), in the order of the chain
+CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
 
 def features(column):
     """(lo, hi, word row, hashes [kind, word]) of consecutive rows; kind 0 is the whole word."""
     for lo, hi, w in words_of(column, ALNUM, True):
-        p = prefix_hash(LOWER[w.data])
+        folded = LOWER[w.data]
         size = w.end - w.start
         kinds = [w.hash]
         for n in STEMS:
             # a beginning must leave something of the word; otherwise it is the word
-            h = span_hash(p, w.start, np.minimum(w.start + n, w.end)) ^ U64(0x5851F42D4C957F2D)
+            h = word_hash(folded, w.start, np.minimum(w.start + n, w.end)) ^ U64(0x5851F42D4C957F2D)
             kinds.append(np.where(size > n, h, w.hash))
         yield lo, hi, w.row_of, np.stack(kinds) if len(w) else np.zeros((1 + len(STEMS), 0), U64)
 
 
-def _sample(labels: DataFrame, key: str, label: str, limit: int) -> DataFrame:
-    one = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y"))
+def _sample(labels: DataFrame, key: str, categories, limit: int) -> DataFrame:
+    """(key, y0, y1, ...) of the chosen ids."""
+    yes = [F.max((F.col(column) == value).cast("int")).alias(f"y{c}") for c, (_, column, value) in enumerate(categories)]
+    main = f"y{len(categories) - 1}"
+    one = labels.where(F.col(key).isNotNull()).groupBy(key).agg(*yes).where(F.col(main).isNotNull())
     order = F.xxhash64(F.col(key))
-    return one.where("y = 1").orderBy(order, key).limit(limit).union(one.where("y = 0").orderBy(order, key).limit(limit))
+    return one.where(f"{main} = 1").orderBy(order, key).limit(limit).union(one.where(f"{main} = 0").orderBy(order, key).limit(limit))
 
 
-def _counter(text: str):
+def _counter(text: str, n: int):
+    """(feature, fold, yes and no of each category) of the sample's rows, added up by batch."""
+
     def run(batches):
         for batch in batches:
-            y = batch.column("y").to_numpy(zero_copy_only=False)
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            y = [batch.column(f"y{c}").fill_null(-1).to_numpy(zero_copy_only=False) for c in range(n)]
             for lo, hi, row, kinds in features(batch.column(text)):
-                h = np.concatenate(list(kinds))
-                whole = np.concatenate([np.full(kinds.shape[1], k == 0) for k in range(len(kinds))])
-                r = np.tile(row, len(kinds))
-                order = np.lexsort([~whole, r, h])
-                h, r, whole = h[order], r[order], whole[order]
-                first = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, bool)
-                h, r, whole = h[first], r[first], whole[first]
-                start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                if not len(start):
+                h, r = kinds.ravel(), np.tile(row, len(kinds))
+                order = np.lexsort([r, h])
+                h, r = h[order], r[order]
+                first = np.ones(len(h), bool)
+                first[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+                h, r = h[first], r[first]
+                order = np.lexsort([fold[lo:hi][r], h])
+                h, r = h[order], r[order]
+                if not len(h):
                     continue
-                toxic = y[lo:hi][r]
-                yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(np.logical_or.reduceat(whole, start)), pa.array(np.add.reduceat(toxic, start).astype(np.int64)), pa.array(np.add.reduceat(1 - toxic, start).astype(np.int64))], names=["h", "whole", "pos", "neg"])
+                f = fold[lo:hi][r]
+                start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])]))
+                sums = [np.add.reduceat((y[c][lo:hi][r] == v).astype(np.int64), start) for c in range(n) for v in (1, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(f[start].astype(np.int32)), *map(pa.array, sums)], names=["h", "fold", *[f"{v}{c}" for c in range(n) for v in ("yes", "no")]])
 
     return run
 
 
-def _g2(a, b, n1, n0):
-    """Likelihood ratio of presence (a of n1 toxic, b of n0 others) against independence."""
-    def part(o, e):
-        return np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / e), 0.0)
+def _g2(a, b, n1: int, n0: int):
+    """Likelihood ratio of presence (a of n1, b of n0) against independence, as a column."""
 
-    share = (a + b) / (n1 + n0)
-    return 2 * (part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share) + 1e-12) + part(n0 - b, n0 * (1 - share) + 1e-12))
+    def part(o, e):
+        return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+
+    share = (a + b) / F.lit(float(n1 + n0))
+    return 2 * (part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share)))
+
+
+def _selected(counted: DataFrame, sizes: dict[tuple[int, int, int], int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature hashes, and for each of FOLDS + 1 selections (without fold k; of all) which it holds."""
+    tests = {}
+    for k in range(FOLDS + 1):
+        for c in range(n):
+            total = lambda v: sum(s for (f, cc, vv), s in sizes.items() if cc == c and vv == v and f != k)  # noqa: E731, B023
+            n1, n0 = total(1), total(0)
+            if n1 and n0:
+                rest = lambda v: sum((F.col(f"{v}{c}_{f}") for f in range(FOLDS) if f != k), F.lit(0))  # noqa: E731, B023
+                a, b = rest("yes"), rest("no")
+                tests[k, c] = (a * n0 > 4 * b * n1) & (a >= 3), _g2(a, b, n1, n0)
+    if not tests:
+        return np.zeros(0, U64), np.zeros((FOLDS + 1, 0), bool)
+    tried = counted.agg(*[F.count_if(t).alias(f"t{k}_{c}") for (k, c), (t, _) in tests.items()]).head()
+    passed = [F.coalesce(F.greatest(F.lit(False), *[t & (g > 2 * math.log(max(2, tried[f"t{k}_{c}"])) - 4) for (kk, c), (t, g) in tests.items() if kk == k]), F.lit(False)).alias(f"k{k}") for k in range(FOLDS + 1)]
+    got = counted.select("h", *passed).where(" or ".join(f"k{k}" for k in range(FOLDS + 1))).toPandas()
+    h = got["h"].to_numpy(np.int64).view(U64)
+    order = np.argsort(h)
+    return h[order], np.stack([got[f"k{k}"].to_numpy(bool)[order] for k in range(FOLDS + 1)])
 
 
 class Model:
     """Vocabulary (sorted hashes) and the chain's models; plain arrays, sent to the executors as they are."""
 
-    def __init__(self, vocabulary: np.ndarray, chain: list, share: float) -> None:
-        self.vocabulary, self.chain, self.share = vocabulary, chain, share
+    def __init__(self, vocabulary: np.ndarray, chain: list, share: float, names: list[str]) -> None:
+        self.vocabulary, self.chain, self.share, self.names, self.width = vocabulary, chain, share, names, len(names)
         #: probability from which a text is toxic; fit() sets it
         self.threshold = 0.5
 
@@ -115,54 +155,51 @@ class Model:
 
     def probabilities(self, x: Sparse) -> np.ndarray:
         if not self.chain:
-            return np.full((len(x), len(CATEGORIES)), self.share)
+            return np.full((len(x), self.width), self.share)
         done = np.zeros((len(x), 0))
         for u, v, b in self.chain:
             done = np.column_stack([done, sigmoid(x.dot(u) + done @ v + b)])
         return done
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit the chain on at most `sample` labelled documents of either label."""
-    chosen = _sample(labels, key, label, sample)
-    # at most 2 * sample rows of (id, label): broadcasting it is bounded
-    train = docs.select(key, text).join(F.broadcast(chosen), key)
-    sizes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", categories=CATEGORIES, sample: int = SAMPLE) -> Model:
+    """Fit the chain on at most `sample` labelled documents of either value of the last category."""
+    n, names = len(categories), [c[0] for c in categories]
+    ys = [f"y{c}" for c in range(n)]
+    # at most 2 * sample rows of id and labels: broadcasting them is bounded
+    train = docs.select(key, text).join(F.broadcast(_sample(labels, key, categories, sample)), key)
+    train = stored(train.select(F.col(key).alias("id"), F.col(text).alias("text"), *ys, F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int").alias("fold")), "toxicity")
+    sizes = {(r["fold"], c, v): r[f"{v}_{c}"] for r in train.groupBy("fold").agg(*[F.count_if(F.col(f"y{c}") == v).alias(f"{v}_{c}") for c in range(n) for v in (0, 1)]).collect() for c in range(n) for v in (0, 1)}
+    n1, n0 = (sum(s for (_, c, v), s in sizes.items() if c == n - 1 and v == w) for w in (1, 0))
     if not n1 or not n0:
-        return Model(np.zeros(0, U64), [], float(n1 > 0 and n0 == 0) if n1 + n0 else 0.0)
-    counted = train.mapInArrow(lean(_counter(text)), "h long, whole boolean, pos long, neg long").groupBy("h").agg(F.max("whole").alias("whole"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counted = counted.where(F.col("pos") * n0 > 4 * F.col("neg") * n1).where("pos >= 3")
-    tried = max(2, counted.count())
-    best = counted.orderBy(F.desc(F.col("pos") * n0 / (F.col("neg") + 1)), F.desc("pos"), "h").limit(8 * VOCABULARY).toPandas()
-    g2 = _g2(best["pos"].to_numpy(float), best["neg"].to_numpy(float), n1, n0)
-    best = best.assign(g2=g2)[g2 > 2 * np.log(tried) - 4].sort_values(["g2", "h"], ascending=[False, True]).head(VOCABULARY)
-    h = best["h"].to_numpy(np.int64).view(U64)
-    order = np.argsort(h)
-    model = Model(h[order], [], n1 / (n1 + n0))
-    whole = best["whole"].to_numpy(bool)[order]
+        return Model(np.zeros(0, U64), [], float(n1 > 0 and n0 == 0) if n1 + n0 else 0.0, names)
+    sums = [F.sum(F.when(F.col("fold") == k, F.col(f"{v}{c}")).otherwise(0)).alias(f"{v}{c}_{k}") for c in range(n) for v in ("yes", "no") for k in range(FOLDS)]
+    ddl = "h long, fold int, " + ", ".join(f"{v}{c} long" for c in range(n) for v in ("yes", "no"))
+    counted = stored(train.mapInArrow(lean(_counter("text", n)), ddl).groupBy("h").agg(*sums), "toxicity")
+    h, chosen = _selected(counted, sizes, n)
+    model = Model(h, [], n1 / (n1 + n0), names)
 
     def matched(batches):
         for batch in batches:
-            for lo, hi, x in model.matches(batch.column(text)):
+            for lo, hi, x in model.matches(batch.column("text")):
                 rows = [x.column[x.bounds[r] : x.bounds[r + 1]].tolist() for r in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), pa.array(rows, pa.list_(pa.int32()))], names=["id", "y", "found"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in ("id", "fold", *ys)], pa.array(rows, pa.list_(pa.int32()))], names=["id", "fold", *ys, "found"])
 
-    got = train.mapInArrow(lean(matched), "id long, y int, found array<int>").toPandas().sort_values(["id", "y"])
+    ddl = "id long, fold int, " + ", ".join(f"{y} int" for y in ys) + ", found array<int>"
+    got = train.mapInArrow(lean(matched), ddl).toPandas().sort_values(["id", "fold"], kind="stable")
     x = Sparse.of([np.asarray(f, np.int64) for f in got["found"]], len(h))
-    y = got["y"].to_numpy(float)
-    term = y * (x.dot(whole.astype(float)) > 0)
-    stem = y * (x.dot((~whole).astype(float)) > 0)
-    fold = folds(got["id"].to_numpy(), FOLDS)
-    done = np.zeros((len(y), 0))
-    for target in (term, stem, y):
+    fold = got["fold"].to_numpy()
+    done = np.zeros((len(fold), 0))
+    for y in (got[c].to_numpy(float) for c in ys):
+        known = ~np.isnan(y)
         held = np.zeros(len(y))
         for k in range(FOLDS):
-            a, b = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            a, b = np.flatnonzero((fold != k) & known), np.flatnonzero(fold == k)
             if len(a) and len(b):
-                u, v, c = logistic(x.take(a), done[a], target[a])
-                held[b] = sigmoid(x.take(b).dot(u) + done[b] @ v + c)
-        model.chain.append(logistic(x, done, target))
+                u, v, c = logistic(x.take(a).only(chosen[k]), done[a], y[a])
+                held[b] = sigmoid(x.take(b).only(chosen[k]).dot(u) + done[b] @ v + c)
+        a = np.flatnonzero(known)
+        model.chain.append(logistic(x.take(a).only(chosen[FOLDS]), done[a], y[a]) if len(a) else (np.zeros(len(h)), np.zeros(done.shape[1]), 0.0))
         done = np.column_stack([done, held])
     model.threshold = best_threshold(done[:, -1], y)
     return model
@@ -197,9 +234,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             for lo, hi, x in model.matches(batch.column(text)):
                 p = model.probabilities(x)
                 columns = [batch.column(key).slice(lo, hi - lo).cast(pa.int64()), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(p[:, -1] >= cut if model.chain else np.zeros(hi - lo, bool))]
-                yield pa.RecordBatch.from_arrays(columns, names=[key, *[f"p_{c}" for c in CATEGORIES], "toxic"])
+                yield pa.RecordBatch.from_arrays(columns, names=[key, *[f"p_{c}" for c in model.names], "toxic"])
 
-    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` long, " + ", ".join(f"p_{c} double" for c in model.names) + ", toxic boolean")
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float | None = None) -> DataFrame:

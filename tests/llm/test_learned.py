@@ -64,7 +64,35 @@ def test_toxicity(spark, docs, labels, awkward):
 
 def test_chain_feeds_earlier_probabilities(docs, labels):
     model = toxicity.fit(docs, labels)
-    assert [len(v) for _, v, _ in model.chain] == [0, 1, 2]
+    assert [len(v) for _, v, _ in model.chain] == [0, 1]
+    # a chain of three in another order
+    chain = (("toxic", "toxic", 1), ("good", "quality", 1), ("again", "toxic", 1))
+    model = toxicity.fit(docs, labels, categories=chain)
+    assert [len(v) for _, v, _ in model.chain] == [0, 1, 2] and model.chain[2][1][0] > 1
+    got = toxicity.score(docs.limit(5), model)
+    assert got.columns == ["doc_id", "p_toxic", "p_good", "p_again", "toxic"]
+
+
+def test_features_of_a_fold_are_selected_without_it(spark):
+    # a word that only the texts of one fold hold is no feature for the models without that fold
+    rows = [(i, f"common w{i % 7}" + (" poison" if i % 2 else ""), i % 2, None) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[3], r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.toxic for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == bool(y) for i, _, y, _ in rows)
+    sizes = {(f, 0, v): 50 for f in range(toxicity.FOLDS) for v in (0, 1)}
+    names = ["h", *[f"{v}0_{k}" for v in ("yes", "no") for k in range(toxicity.FOLDS)]]
+    counted = spark.createDataFrame([(1, 40, 0, 0, 0, 0, 0, 0, 0, 0, 0), (2, 9, 9, 9, 9, 9, 0, 0, 0, 0, 0)], names)
+    h, chosen = toxicity._selected(counted, sizes, 1)
+    assert h.tolist() == [1, 2] and chosen[:, 0].tolist() == [False, True, True, True, True, True] and chosen[:, 1].all()
+
+
+def test_one_label_only(spark, docs):
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(50)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs.limit(20), model).collect()
+    assert {(r.p_toxic, r.toxic) for r in rows} == {(1.0, False)}
 
 
 def test_quality(spark, docs, labels, awkward):
