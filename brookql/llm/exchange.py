@@ -4,7 +4,8 @@ Three operators ask the same question of billions of fingerprints: which of mine
 occur in other documents?  One row per fingerprint would cost tens of bytes and a
 JVM object each, so the exchange works on blocks:
 
-1. `blocks()` deals the documents into `part`s that are ranges of the order key.
+1. `blocks()` deals the documents into `part`s that are ranges of the order key, of
+   about equal bytes of text.
 2. Each part announces its *distinct* fingerprints, sorted and byte-plane coded,
    as one blob per bucket of the hash space (`announce`).  A passage that a third
    of all documents share is announced once a part, not once a document.
@@ -13,7 +14,9 @@ JVM object each, so the exchange works on blocks:
 4. Each part's documents meet the answers in a cogroup.
 
 No step gathers more than one part's texts or one bucket's blobs in a task; both
-counts follow spark.sql.shuffle.partitions, to be set by input size as usual.
+counts follow spark.sql.shuffle.partitions, to be set by input size as usual.  A part
+sends a bucket at most one blob, so there are at most parts x buckets of them, as many
+as any shuffle has segments; at 100 TB and 100,000 parts a blob still has about 10 KB.
 Lost executors only cost their own blocks: every step is a deterministic function
 of its input.
 """
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Parts and buckets per shuffle partition: small blocks even out the tasks.
 BLOCKS_PER_PARTITION = 2
+#: Ranges of rows that are weighed for each part.
+FINE = 4
 #: Settings while a table is written: a query's shuffle files go as it ends, for what it wrote no longer
 #: needs them, and texts reach Python in smaller batches.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
@@ -62,15 +67,27 @@ def block_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * BLOCKS_PER_PARTITION
 
 
-def blocks(df: DataFrame, key: str, n: int, columns: list[str]) -> DataFrame:
+def blocks(df: DataFrame, key: str, n: int, columns: list[str], text: str = "text") -> DataFrame:
     """df's key and columns with `part`, a range of the key: equal keys share a part.
 
-    A null key sorts after all others.  Bounds are n-1 quantiles (a few KB on the
-    driver, whatever the input), so parts hold about equal numbers of rows.
+    A null key sorts after all others.  Parts hold about equal numbers of bytes of
+    text: the texts' bytes are summed over `FINE` times as many ranges of equal numbers
+    of rows, and neighbours are put together.  The driver holds those ranges' bounds
+    and sums, 16 bytes for each; the plan holds the parts' bounds as one array.
     """
-    probs = [i / n for i in range(1, n)]
-    bounds = df.select(F.col(key)).where(F.col(key).isNotNull()).select(F.percentile_approx(key, probs, min(20 * n, 1_000_000))).head()[0] if n > 1 else []
-    bounds = sorted(set(bounds or []))
+    bounds: list[int] = []
+    if n > 1:
+        probs = [i / (FINE * n) for i in range(1, FINE * n)]
+        fine = df.select(F.percentile_approx(key, probs, min(20 * FINE * n, 1_000_000))).head()[0]
+        bounds = sorted(set(fine or []))
+        size = [0] * (len(bounds) + 1)
+        if bounds:
+            for r in df.where(F.col(key).isNotNull()).groupBy(_below(bounds, F.col(key)).alias("r")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64).alias("b")).collect():
+                size[r.r] = r.b
+        ends = np.cumsum(size)
+        # the last fine bound below each n-th of the bytes
+        at = np.searchsorted(ends, [ends[-1] * i / n for i in range(1, n)], side="left")
+        bounds = sorted({bounds[min(a, len(bounds) - 1)] for a in at.tolist()}) if bounds else []
     part = F.lit(0)
     if bounds:
         part = F.when(F.col(key).isNull(), F.lit(len(bounds))).otherwise(_below(bounds, F.col(key)))
@@ -79,11 +96,21 @@ def blocks(df: DataFrame, key: str, n: int, columns: list[str]) -> DataFrame:
 
 def _below(bounds: list[int], key):
     """How many of the sorted bounds are below the key: a binary search within the plan."""
-    table, n = F.lit(bounds), len(bounds)
+    table, n = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>"), len(bounds)
     steps = F.lit([1 << i for i in reversed(range(n.bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(table, at + step - 1) < key), at + step).otherwise(at))
 
 
+def without(df: DataFrame, name: str):
+    """df with a column of that name renamed, and a function that renames it back."""
+    if name not in df.columns:
+        return df, lambda out: out
+    other = f"_{name}"
+    while other in df.columns:
+        other = "_" + other
+    return df.withColumnRenamed(name, other), lambda out: out.withColumnRenamed(other, name)
+
+
 def grouped(df: DataFrame, n: int) -> DataFrame:
     """df dealt by part, as every consumer of it needs it: Spark reuses the one exchange."""
     return df.repartition(max(1, n // BLOCKS_PER_PARTITION), "part")
@@ -93,10 +120,10 @@ def grouped(df: DataFrame, n: int) -> DataFrame:
 
 
 def pack(hashes: np.ndarray, counts: np.ndarray | None = None) -> bytes:
-    """Sorted distinct hashes (and small counts) as byte planes of their high-half gaps.
+    """Sorted distinct hashes (and counts) as byte planes of their high-half gaps.
 
-    Gaps of the high 32 bits have mostly zero upper bytes, which Spark's shuffle
-    compression removes; the low halves stay as they are: about 6 bytes a hash.
+    Gaps of the high 32 bits, and counts, have mostly zero upper bytes, which Spark's
+    shuffle compression removes; the low halves stay as they are: about 6 bytes a hash.
     """
     n = len(hashes)
     high = (hashes >> U64(32)).astype(np.uint32)
@@ -104,7 +131,7 @@ def pack(hashes: np.ndarray, counts: np.ndarray | None = None) -> bytes:
     gaps[1:] -= high[:-1]
     planes = np.ascontiguousarray(gaps.astype("<u4").view(np.uint8).reshape(n, 4).T)
     low = (hashes & U64(0xFFFFFFFF)).astype("<u4")
-    tail = b"" if counts is None else np.minimum(counts, 255).astype(np.uint8).tobytes()
+    tail = b"" if counts is None else np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(n, 4).T).tobytes()
     return np.uint32(n).tobytes() + planes.tobytes() + low.tobytes() + tail
 
 
@@ -114,8 +141,9 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray | None]:
     gaps = np.ascontiguousarray(raw[4 : 4 + 4 * n].reshape(4, n).T).view("<u4").ravel()
     high = np.cumsum(gaps, dtype=np.uint32).astype(U64)
     low = np.frombuffer(blob, "<u4", n, 4 + 4 * n).astype(U64)
-    counts = raw[4 + 8 * n :]
-    return (high << U64(32)) | low, (counts if len(counts) else None)
+    tail = raw[4 + 8 * n : 4 + 12 * n]
+    counts = np.ascontiguousarray(tail.reshape(4, n).T).view("<u4").ravel() if n and len(tail) else None
+    return (high << U64(32)) | low, counts
 
 
 def split(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -146,7 +174,7 @@ def _merged(table: pa.Table):
     got = [unpack(b.as_py()) for b in table.column("blob")]
     h = np.concatenate([x for x, _ in got])
     p = np.repeat(parts, [len(x) for x, _ in got])
-    c = np.concatenate([(np.ones(len(x), np.uint8) if c is None else c) for x, c in got])
+    c = np.concatenate([(np.ones(len(x), np.uint32) if c is None else c) for x, c in got])
     by_part = np.argsort(parts, kind="stable")
     if not np.array_equal(by_part, np.arange(len(parts))):
         order = np.argsort(p, kind="stable")
@@ -184,6 +212,59 @@ def answer_totals(table: pa.Table) -> pa.Table:
     return _replies(h[many], p[many], np.repeat(total, size)[many])
 
 
+# -- references: where a hash stands first ----------------------------------------
+
+
+def ask_first(table: pa.Table) -> pa.Table:
+    """Ask the earliest part of each hash that later parts have too where it stands there."""
+    h, p, _, first = _merged(table)
+    size = np.diff(np.append(first, len(h)))
+    h, p = h[first[size > 1]], p[first[size > 1]]
+    out = _replies(h, p, None)
+    return out.add_column(1, "bucket", pa.array([table.column("bucket")[0].as_py()] * out.num_rows, pa.int32()))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(np.diff(x, prepend=0).astype("<i8").view(np.uint8).reshape(len(x), 8).T).tobytes()
+
+
+def pack_places(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
+    """Hashes with the documents and places where they stand, in the order of those, whose gaps are small."""
+    order = np.lexsort([place, doc])
+    return np.uint32(len(h)).tobytes() + h[order].astype("<u8").tobytes() + _planes(doc[order]) + _planes(place[order])
+
+
+def unpack_places(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, doc, place) of all blobs, sorted by hash."""
+    hs, ds, ps = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for blob in blobs:
+        blob = blob.as_py()
+        n = int(np.frombuffer(blob, "<u4", 1)[0])
+        hs.append(np.frombuffer(blob, "<u8", n, 4))
+        for into, at in ((ds, 4 + 8 * n), (ps, 4 + 16 * n)):
+            into.append(np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").ravel()))
+    h, d, p = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps)
+    order = np.argsort(h)
+    return h[order], d[order], p[order]
+
+
+def tell_places(spoken: pa.Table, found: pa.Table) -> pa.Table:
+    """Tell each part, of its hashes that an earlier part has too, where they stand first."""
+    if not spoken.num_rows or not found.num_rows:
+        return pa.table({"part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+    h, p, _, first = _merged(spoken)
+    later = np.ones(len(h), bool)
+    later[first] = False
+    h, p = h[later], p[later]
+    known, doc, place = unpack_places(found.column("blob"))
+    at = np.searchsorted(known, h)
+    order = np.argsort(p, kind="stable")
+    h, p, at = h[order], p[order], at[order]
+    edges = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
+    blobs = [pack_places(h[a:b], doc[at[a:b]], place[at[a:b]]) for a, b in zip(edges, np.append(edges[1:], len(p)))]
+    return pa.table({"part": pa.array(p[edges], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+
 def answers(table: pa.Table, totals: bool = False):
     """A part's answers: sorted hashes, and with totals their counts."""
     hs, cs = [], []

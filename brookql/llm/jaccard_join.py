@@ -9,21 +9,26 @@ joined.  The stages:
    corpus-wide counts (exchange.py).  Shingles that no other text has come first in
    the order and match nothing: a document whose prefix is all such shingles cannot
    link and is settled here.  This leaves the few documents with repeated content.
-2. Classes.  Documents with equal sets collapse to the one with the least id.
-3. Candidates.  Prefix shingles of the class representatives are joined, in two
-   turns.  First each shingle's most central holder (the one in whose order it
+2. Classes.  Documents with equal sets collapse into one class, which carries its least
+   id and is numbered by 64 bits of its set's hash.
+3. Candidates.  Prefix shingles of the classes are joined, in two turns.  First each shingle's most central holder (the one in whose order it
    stands earliest) is paired with all other holders; verified members take that
    hub's label.  Then holders with different labels are paired with one another.  A
    group of near copies thus costs a pair a member, not a pair for every two.
    Length, positional and suffix filters run within the join: an overlap is at most
    1 + sum over hash cells of min(shingles left in either suffix).
-4. Verification.  Each distinct pair once, by intersecting the repeated shingles.
-5. Components of the links (components.py), named by their least document.
+4. Verification.  Each distinct pair once, by intersecting the repeated shingles; pairs
+   of the first turn are not looked at again in the second.
+5. Components of the links (components.py), named by their least document.  Where an id
+   stands on rows with different sets, their classes are linked by it.
 
 Defined results: words are maximal runs of bytes other than ASCII white space, with
 A-Z lower-cased.  A text of fewer words than a shingle is one shingle; null, empty
 or blank texts have none and link with nothing.  Rows with equal ids count as one
-document for components.  Rows without an id have no links and a null component.
+document for components, with the links of all their texts.  Rows without an id have no
+links and a null component.  An empty table gives an empty table.  Very long texts are
+cut whole, one at a time (text.py).  Only id and text are looked at, so other columns
+may have any names; `keep_one` keeps them as they are.
 """
 
 from __future__ import annotations
@@ -158,33 +163,43 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 class JaccardJoin:
     """The join's parts, each a DataFrame.
 
-    documents: key, n_shingles, rep (the class's least id); links: verified (a, b)
-    between representatives, enough of them to connect every component.
+    settled: key, n_shingles, class of every row; reps: each class and its least id;
+    links: verified pairs (a, b) of ids of classes, enough of them to connect every
+    component.
     """
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100) -> None:
         n = ex.block_count(docs.sparkSession)
         self.key = key
-        dealt = ex.grouped(ex.blocks(docs, key, n, [text]), n)
+        dealt = ex.grouped(ex.blocks(docs, key, n, [text], text), n)
         spoken = dealt.groupBy("part").applyInArrow(lean(_announcer(text, size, n)), ex.BLOB_SCHEMA)
         told = spoken.groupBy("bucket").applyInArrow(lean(ex.answer_totals), ex.ANSWER_SCHEMA)
         settled = dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(lean(_settler(key, text, size, num, den)), f"`{key}` long, n_shingles long, n_unique long, class binary, toks binary")
         settled = stored(settled)
         full = settled.where((F.col("n_shingles") > 0) & F.col(key).isNotNull())
         reps = full.groupBy("class").agg(F.min(key).alias("rep"))
-        alive = full.where(F.col("toks").isNotNull())
-        sets = alive.join(reps.select(F.col("rep").alias(key)).distinct(), key, "left_semi")
-        sets = stored(sets.select(F.col(key).alias("id"), F.col("n_shingles").alias("n"), F.col("n_unique").alias("u"), "toks").dropDuplicates(["id"]))
+        # one row a class that may link: that of its least id
+        alive = full.where(F.col("toks").isNotNull()).alias("d").join(reps.alias("r"), F.expr(f"d.class = r.class and d.`{key}` = r.rep"))
+        number = F.conv(F.substring(F.hex("d.class"), 1, 15), 16, 10).cast("long")
+        sets = alive.select(number.alias("id"), "rep", F.col("n_shingles").alias("n"), F.col("n_unique").alias("u"), "toks").dropDuplicates(["id"])
+        sets = stored(sets)
         rows = stored(sets.mapInArrow(lean(_prefixes(num, den)), "h long, id long, n int, place int, rest int, cells array<int>"))
         hubs = rows.groupBy("h").agg(F.min(F.struct("place", "id", "n", "rest", "cells")).alias("hub"), F.count("*").alias("holders")).where("holders > 1")
         hubs = stored(hubs.select("h", "hub.id", "hub.n", "hub.place", "hub.rest", "hub.cells"))
-        first = stored(_links(_joined(rows, hubs, num, den, "x.id != y.id"), sets, num, den))
+        tried = stored(_joined(rows, hubs, num, den, "x.id != y.id"))
+        first = stored(_links(tried, sets, num, den))
         label = first.select("a", "b").union(first.select("b", "a")).toDF("id", "other").groupBy("id").agg(F.min("other").alias("other"))
         label = stored(label.select("id", F.least("id", "other").alias("label")))
         shared = rows.join(hubs.select("h"), "h", "left_semi").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
         shared = stored(shared)
-        rest = _links(_joined(shared, shared, num, den, "x.id < y.id and x.label != y.label"), sets, num, den)
-        self.links = stored(first.union(rest).distinct())
+        rest = _joined(shared, shared, num, den, "x.id < y.id and x.label != y.label").join(tried, ["a", "b"], "left_anti")
+        linked = stored(first.union(_links(rest, sets, num, den)))
+        named = sets.select("id", "rep")
+        linked = linked.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        # an id with several sets links their classes
+        several = full.groupBy(key).agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c != d").select(key)
+        joint = full.select(key, "class").join(several, key).join(reps, "class").select(F.col(key).alias("a"), F.col("rep").alias("b"))
+        self.links = stored(linked.union(joint).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         self.settled, self.full, self.reps = settled, full, reps
 
     def documents(self) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookql.llm.linear import Sparse, folds, logistic, sigmoid
-from brookql.llm.text import SPACED, Words, chunks, lean, prefix_hash, row_sums, span_hash, utf8
+from brookql.llm.text import SPACED, Words, chunks, lean, row_sums, utf8, word_hash
 
 U64 = np.uint64
 SAMPLE = 4000
@@ -77,7 +77,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     breaks = np.flatnonzero(data == 10)
     edges = np.unique(np.concatenate([offsets, breaks + 1])) if len(data) else offsets
     lines_at = np.searchsorted(edges, offsets)
-    lines = span_hash(prefix_hash(data), edges[:-1], edges[1:]) if len(data) else np.zeros(0, U64)
+    lines = word_hash(data, edges[:-1], edges[1:]) if len(data) else np.zeros(0, U64)
     n_lines = np.diff(lines_at)
     same = np.zeros(len(w), bool)
     if len(w):

@@ -17,18 +17,26 @@ sort:
    prefix it shares with the suffix put out last; heads are compared by that length
    alone where it differs, and otherwise only from there on, so known prefixes are
    never compared again.  The merged order comes with its array of common prefixes.
-4. Groups of suffixes with a common prefix of a whole seed are searched for windows
-   that occurred earlier in (document, position) order; runs of those, as intervals,
-   go back to the documents' blocks.
+4. Groups.  Suffixes with a common prefix of a whole seed form a group.  A window that
+   starts j bytes before its anchor equals another just if the suffixes at both anchors
+   share length - j bytes, which the array of common prefixes says, and the bytes
+   before the anchors share j, which a second order of those bytes, read backwards,
+   says with its own array.  Of equal windows all but the first in (document,
+   position) order are repeats; runs of them, as intervals, go back to the documents'
+   blocks.  No hash takes part in this decision.
 
 An anchor with more than `HOT` occurrences (a line that a third of all documents share)
 would make a group without bound.  Its windows take part by their own hashes instead:
 each block announces its distinct ones, spread over all buckets, and learns which
 occur in an earlier block (exchange.py).  Both ways give the same answer for a window.
+Occurrences are counted exactly, so none escapes this.
 
 Defined results: null texts are empty; a text shorter than a window loses nothing;
 matches never cross documents.  Documents without an id come last; rows of equal id
-count as documents in the order of their texts.  Bytes are cut wherever windows say,
+count as documents in the order of their texts, and repeated rows as several documents.
+An empty table gives an empty table.  Very long texts are looked at a piece at a time,
+but a block holds its texts whole.  `remove_repeats` keeps other columns, whatever their
+names.  Bytes are cut wherever windows say,
 also within a character, so kept bytes need not be valid UTF-8; `remove_repeats`
 drops the torn parts of a character.
 """
@@ -50,7 +58,7 @@ LENGTH, SEED = 100, 32
 CHUNK = 1 << 18
 PLACE_BITS = 20
 #: Suffixes searched for repeated windows at once; a single group may hold more.
-BATCH = 2000
+BATCH = 8000
 LAST = np.iinfo(np.int64).max
 #: Occurrences beyond which an anchor's windows are looked up one by one.
 HOT = 2000
@@ -125,13 +133,23 @@ def _announcer(text: str, length: int, seed: int, n: int):
     return run
 
 
+def neighbours(mat: np.ndarray) -> np.ndarray:
+    """How many bytes each row of mat, from the second on, shares with the one before."""
+    differ = mat[1:] != mat[:-1]
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), mat.shape[1])
+
+
+def by_bytes(mat: np.ndarray) -> np.ndarray:
+    """The order of the rows of a byte matrix."""
+    return np.argsort(np.ascontiguousarray(mat).view(f"S{mat.shape[1]}").ravel(), kind="stable")
+
+
 def encode_run(mat: np.ndarray, size: np.ndarray, left: np.ndarray, left_size: np.ndarray, row: np.ndarray, place: np.ndarray) -> bytes:
     """A sorted run: front-coded suffixes, the bytes left of their anchors, and where they stand."""
     n, width = mat.shape
     lcp = np.zeros(n, np.int64)
     if n > 1:
-        differ = mat[1:] != mat[:-1]
-        lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        lcp[1:] = np.minimum(neighbours(mat), np.minimum(size[1:], size[:-1]))
     column = np.arange(width)
     tail = mat[(column >= lcp[:, None]) & (column < size[:, None])]
     return b"".join([np.array([n, len(tail)], "<u4").tobytes(), lcp.astype("<u2").tobytes(), size.astype("<u2").tobytes(), left_size.astype("<u2").tobytes(), row.astype("<u4").tobytes(), place.astype("<u8").tobytes(), tail.tobytes(), left.tobytes()])
@@ -324,7 +342,8 @@ def _block_runs(data, offsets, part, h, place, lo, hi, length, width, n):
         mine = bucket_order[cut[bucket] : cut[bucket + 1]]
         size = end[mine] - place[mine]
         mat = np.where(column < size[:, None], data[np.minimum(place[mine][:, None] + column, len(data) - 1)], 0).astype(np.uint8)
-        order = np.argsort(np.ascontiguousarray(mat).view(f"S{width}").ravel(), kind="stable")
+        order = np.argsort(size, kind="stable")  # of padded rows that look alike, the shorter suffix comes first
+        order = order[by_bytes(mat[order])]
         mine, mat, size = mine[order], mat[order], size[order]
         left_size = place[mine] - lo[mine]
         first = np.cumsum(left_size) - left_size
@@ -345,23 +364,22 @@ def _merger(length: int, seed: int):
         for i in turn:
             lcp, size, left_size, row, place, tail, left = decode_run(blobs[i])
             runs.append(Run(lcp, size, tail))
-            fields.append((size, left_size, row, place, left, np.concatenate([[0], np.cumsum(left_size, dtype=np.int64)])))
-        # groups of the merged order that share a whole seed; suffixes as padded strings compare like the runs' order
-        group: list[tuple[int, int, bytes]] = []
-        batch: list[tuple[int, int, bytes]] = []
+            fields.append((size, left_size, row, place, left))
+        stock = Suffixes(fields, np.array([parts[i] for i in turn], np.int64))
+        group: list[tuple[int, int]] = []
+        batch: list[tuple[int, int]] = []
         for r, i, shared in merge(runs):
-            head = runs[r].head
             if shared < seed:
                 if len(group) > 1:
                     batch += group
                     if len(batch) > BATCH:
-                        answers += _repeated(batch, fields, parts, turn, length)
+                        answers += stock.repeated(batch, length, seed)
                         batch = []
                 group = []
-            group.append((r, i, head))
+            group.append((stock.first[r] + i, shared))
         if len(group) > 1:
             batch += group
-        answers += _repeated(batch, fields, parts, turn, length)
+        answers += stock.repeated(batch, length, seed)
         found = pa.table({"part": pa.array([p for p, _ in answers], pa.int32()), "kind": pa.array([CUTS] * len(answers), pa.int32()), "blob": pa.array([b for _, b in answers], pa.binary())})
         if later is not None:
             found = pa.concat_tables([found, later.add_column(1, "kind", pa.array([HASHES] * later.num_rows, pa.int32()))])
@@ -370,49 +388,58 @@ def _merger(length: int, seed: int):
     return run
 
 
-def _repeated(group, fields, parts, turn, length: int) -> list[tuple[int, bytes]]:
-    """Intervals of windows of the group's suffixes that occurred earlier, by part."""
-    if not group:
-        return []
-    r = np.array([g[0] for g in group])
-    i = np.array([g[1] for g in group])
-    row = np.array([fields[a][2][b] for a, b, _ in group], np.int64)
-    place = np.array([fields[a][3][b] for a, b, _ in group], np.int64)
-    left_size = np.array([fields[a][1][b] for a, b, _ in group], np.int64)
-    order = np.lexsort([place, row, r])
-    size = np.array([int(fields[a][1][b]) + len(head) for a, b, head in group], np.int64)[order]
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    starts, hashes = [], []
-    for c in range(0, len(order), BATCH):
-        texts = []
-        for k in order[c : c + BATCH]:
-            a, b, head = group[k]
-            left, at = fields[a][4], fields[a][5]
-            texts.append(left[at[b] : at[b + 1]] + head)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        own = bounds[c : c + len(texts) + 1] - bounds[c]
-        for start, h in window_hashes(data, own[:-1], own[1:] - length, length):
-            starts.append(start + bounds[c])
-            hashes.append(h)
-    at, h = np.concatenate(starts), np.concatenate(hashes)
-    owner = np.searchsorted(bounds, at, side="right") - 1
-    by = np.argsort(h, kind="stable")
-    first = np.concatenate([[True], h[by][1:] != h[by][:-1]])
-    again = np.zeros(len(h), bool)
-    again[by[~first]] = True
-    at, owner = at[again], owner[again]
-    if not len(at):
-        return []
-    start = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])]))
-    stop = np.append(start[1:], len(at)) - 1
-    who = order[owner[start]]
-    origin = place[who] - left_size[who] - bounds[owner[start]]
-    found = np.stack([row[who], at[start] + origin, at[stop] + length + origin], axis=1).astype("<i8")
-    source = r[who]
-    out = []
-    for s in np.unique(source):
-        out.append((parts[turn[s]], found[source == s].tobytes()))
-    return out
+class Suffixes:
+    """The suffixes of a bucket's runs, numbered run by run."""
+
+    def __init__(self, fields: list, parts: np.ndarray) -> None:
+        gather = lambda k: np.concatenate([f[k].astype(np.int64) for f in fields]) if fields else np.zeros(0, np.int64)
+        self.size, self.left_size, self.row, self.place = (gather(k) for k in range(4))
+        counts = [len(f[0]) for f in fields]
+        self.first = np.concatenate([[0], np.cumsum(counts)]).astype(int).tolist()
+        self.part = np.repeat(parts, counts)
+        self.left = np.frombuffer(b"".join(f[4] for f in fields) or b"\0", np.uint8)
+        self.left_end = np.cumsum(self.left_size)
+
+    def repeated(self, group: list[tuple[int, int]], length: int, seed: int) -> list[tuple[int, bytes]]:
+        """Intervals of windows that occurred earlier, by part.
+
+        group: numbers of suffixes in merged order, and the prefix each shares with the one before.
+        """
+        if not group:
+            return []
+        g, lcp = np.array(group, np.int64).T
+        n, reach = len(g), length - seed
+        size, left_size = self.size[g], self.left_size[g]
+        column = np.arange(reach)
+        back = np.where(column < left_size[:, None], self.left[np.maximum(self.left_end[g][:, None] - 1 - column, 0)], 0).astype(np.uint8)
+        by = by_bytes(back)
+        shared_left = np.zeros(n, np.int64)
+        shared_left[1:] = neighbours(back[by])
+        order = np.lexsort([self.place[g], self.row[g], self.part[g]])
+        again = np.zeros((n, reach + 1), bool)
+        left = np.empty(n, np.int64)
+        for j in range(reach + 1):
+            own = order[(left_size[order] >= j) & (size[order] >= length - j)]
+            if len(own) < 2:
+                continue
+            left[by] = np.cumsum(shared_left < j)
+            key = np.cumsum(lcp < length - j)[own] * (n + 1) + left[own]
+            turn = np.argsort(key, kind="stable")
+            key = key[turn]
+            again[own[turn[1:][key[1:] == key[:-1]]], j] = True
+        # window starts ascend as j descends
+        steps = np.zeros((n, reach + 3), np.int8)
+        steps[:, 1:-1] = again[:, ::-1]
+        steps = np.diff(steps, axis=1)
+        who, begin = np.nonzero(steps == 1)
+        end = np.nonzero(steps == -1)[1]
+        origin = self.place[g[who]] - reach
+        found = np.stack([self.row[g[who]], origin + begin, origin + end - 1 + length], axis=1).astype("<i8")
+        part = self.part[g[who]]
+        by_part = np.argsort(part, kind="stable")
+        part, found = part[by_part], found[by_part]
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        return [(int(part[a]), found[a:b].tobytes()) for a, b in zip(edges, np.append(edges[1:], len(part)))]
 
 
 def _cutter(key: str, text: str, length: int, emit):
@@ -468,7 +495,7 @@ def _cleaned(text: str):
 
 def _removed(docs: DataFrame, key: str, text: str, columns: list[str], length: int, seed: int, emit, ddl: str, hot: int = HOT) -> DataFrame:
     n = ex.block_count(docs.sparkSession)
-    dealt = ex.grouped(ex.blocks(docs, key, n, columns), n)
+    dealt = ex.grouped(ex.blocks(docs, key, n, columns, text), n)
     spoken = dealt.groupBy("part").applyInArrow(lean(_announcer(text, length, seed, n)), ex.BLOB_SCHEMA)
     told = spoken.groupBy("bucket").applyInArrow(lean(ex.answer_totals), ex.ANSWER_SCHEMA)
     # a block may send a bucket two kinds of blobs, so there are fewer buckets than in the first exchange
@@ -484,12 +511,12 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """docs with repeated bytes removed from the text; other columns stay (but for one named `part`, renamed for the run)."""
-    safe = docs.withColumnRenamed("part", "_brook_part") if "part" in docs.columns else docs
+    """docs with repeated bytes removed from the text; other columns stay."""
+    safe, back = ex.without(docs, "part")
     rest = [c for c in safe.columns if c != key]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in safe.select(key, *rest).schema)
     out = _removed(safe, key, text, rest, length, seed, _cleaned(text), ddl).select(*[f"`{c}`" for c in safe.columns])
-    return out.withColumnRenamed("_brook_part", "part") if safe is not docs else out
+    return back(out)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,10 +146,32 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] for each pair, from prefix_hash(data)."""
-    _, down = _powers.get(len(prefix))
-    return _splitmix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64))
+#: Words of more bytes than this are hashed one at a time.
+LONG_WORD = 64
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each word data[start:end]: eight bytes a step, mixed in between; long words by BLAKE2.
+
+    No sum of powers: such sums collide for regular words (Thue-Morse) whatever the base.
+    """
+    size = end - start
+    out = _splitmix(size.astype(U64) * U64(0x9E3779B97F4A7C15))
+    if not len(size):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(live):
+        left = size[live] - at
+        lane = lanes[start[live] + at] & _TAIL[np.minimum(left, 8)]
+        out[live] = _splitmix((out[live] ^ lane) * U64(STEP))
+        live, at = live[left > 8], at + 8
+    view = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(view[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 class Words:
@@ -176,7 +198,7 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.rows = np.searchsorted(self.start, offsets)
-        self.hash = span_hash(prefix_hash(folded), self.start, self.end)
+        self.hash = word_hash(folded, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -269,14 +291,6 @@ def covered(length: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def covered_by_runs(length: int, start: np.ndarray, size: int) -> np.ndarray:
-    """As covered(), for sorted distinct starts of runs of one size."""
-    step = np.zeros(length + 1, dtype=np.int32)
-    step[start] += 1
-    step[start + size] -= 1
-    return np.cumsum(step[:-1]) > 0
-
-
 def row_sums(flags: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sum of flags over each rows[r]:rows[r+1]."""
     total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
