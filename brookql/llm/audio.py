@@ -11,6 +11,10 @@ stored file back and computes, for every clip:
 * a fixed-shape tensor (`BINS` x `BANDS`, float32) of mean log-mel values over equal
   stretches of the clip, and the segments' time spans in seconds.
 
+Spark has no tensor type, so the column `tensor` holds each clip's tensor as an Arrow
+tensor message, which carries its own type, shape and dimension names, and lives in
+Parquet as binary; `tensors` turns such a column into Arrow's fixed-shape tensor array.
+
 Long clips are worked through in blocks of `BLOCK` frames, so memory holds a clip's
 bytes and one block.  All arithmetic depends on the clip alone: equal clips have equal
 features, whatever batch they are in.
@@ -18,7 +22,9 @@ features, whatever batch they are in.
 Defined results: a null text is the empty payload, padded to 64 zero bytes like any
 other; frames go on until the last one holds the last resampled sample that any byte
 reaches, and are zero-padded beyond it, so a short clip has one frame.  A file that is
-no 8-bit mono WAV raises ValueError.  Repeated rows give repeated rows.
+no 8-bit mono WAV raises ValueError.  Repeated rows give repeated rows; an empty table
+gives an empty table.  Only id and text are looked at, so other columns may have any
+names.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from brookql.llm.exchange import stored
 from brookql.llm.text import lean, utf8
 
 RATE, UP, DOWN, TAPS = 16_000, 1, 2, 24
@@ -154,7 +161,10 @@ def _payloads(column):
 
 
 STORED = "n_bytes long, media binary"
-FEATURES = "n_bytes long, media binary, tensor array<float>, spans array<struct<start:double,end:double>>"
+FEATURES = "n_bytes long, media binary, tensor binary, spans array<struct<start:double,end:double>>"
+SPANS = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
+#: Clips handed to Spark at once.
+CLIPS = 64
 
 
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,62 +176,73 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             for i, (n, payload) in enumerate(_payloads(batch.column(text))):
                 size.append(n)
                 media.append(encode_wav(payload))
-                if len(media) == 64 or i == batch.num_rows - 1:
+                if len(media) == CLIPS or i == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([batch.column(key).slice(i + 1 - len(media), len(media)), pa.array(size, pa.int64()), pa.array(media, pa.binary())], names=[key, "n_bytes", "media"])
                     size, media = [], []
 
     return docs.select(key, text).mapInArrow(lean(run), f"`{key}` long, {STORED}")
 
 
-def tensor_type() -> pa.DataType:
-    """The Arrow type of a clip's tensor."""
-    return pa.fixed_shape_tensor(pa.float32(), (BINS, BANDS), dim_names=["time", "band"])
+def tensor_message(values: np.ndarray) -> bytes:
+    """A [BINS, BANDS] float32 array as an Arrow tensor message."""
+    sink = pa.BufferOutputStream()
+    pa.ipc.write_tensor(pa.Tensor.from_numpy(np.ascontiguousarray(values, np.float32), dim_names=["time", "band"]), sink)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensor(message: bytes) -> np.ndarray:
+    return pa.ipc.read_tensor(pa.BufferReader(message)).to_numpy()
+
+
+def tensors(column: pa.Array | pa.ChunkedArray) -> pa.FixedShapeTensorArray:
+    """A column of tensor messages as Arrow's fixed-shape tensor array."""
+    values = [read_tensor(m.as_py()).ravel() for m in column]
+    kind = pa.fixed_shape_tensor(pa.float32(), (BINS, BANDS), dim_names=["time", "band"])
+    flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.float32))
+    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, BINS * BANDS))
 
 
 def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """store()'s columns with each clip's tensor (row-major BINS x BANDS) and time spans."""
+    """store()'s columns with each clip's tensor (an Arrow tensor message) and time spans."""
 
     def run(batches):
         for batch in batches:
-            tensors, spans = [], []
-            for m in batch.column("media"):
-                t, s = clip_features(decode_wav(m.as_py())[0])
-                tensors.append(t.ravel())
-                spans.append([{"start": float(a), "end": float(b)} for a, b in s])
-            # built as fixed-shape tensors, handed to Spark as their storage, which it knows as arrays
-            column = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(tensors) if tensors else np.zeros(0, np.float32)), BINS * BANDS))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "n_bytes", "media")), column.storage.cast(pa.list_(pa.float32())), pa.array(spans, pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())])))], names=[key, "n_bytes", "media", "tensor", "spans"])
+            for lo in range(0, batch.num_rows, CLIPS):
+                part = batch.slice(lo, CLIPS)
+                found, spans = [], []
+                for m in part.column("media"):
+                    t, s = clip_features(decode_wav(m.as_py())[0])
+                    found.append(tensor_message(t))
+                    spans.append([{"start": float(a), "end": float(b)} for a, b in s])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (key, "n_bytes", "media")), pa.array(found, pa.binary()), pa.array(spans, SPANS)], names=[key, "n_bytes", "media", "tensor", "spans"])
 
     return media.mapInArrow(lean(run), f"`{key}` long, {FEATURES}")
 
 
-def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a document: sizes and hashes of the payload as read back, of the file, and of the features.
-
-    Storing, reading back and computing run in one pass, so that files need not pass
-    between processes; the functions are those of store() and features().
-    """
+def digest(featured: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row a clip of features(): sizes and hashes of the payload as read back, of the file, and of the features."""
     names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_segments"]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for n, payload in _payloads(batch.column(text)):
-                media = encode_wav(payload)
+            for media, tensor, spans in zip(batch.column("media"), batch.column("tensor"), batch.column("spans").to_pylist()):
+                media = media.as_py()
                 back, _ = decode_wav(media)
-                tensor, spans = clip_features(back)
+                seconds = np.array([(s["start"], s["end"]) for s in spans]).reshape(-1, 2)
                 # rounded, so that the last bits of the arithmetic don't matter
-                marks = np.round(tensor.astype(float) * 64).astype("<i4").tobytes() + np.round(spans * 1000).astype("<i4").tobytes()
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), hashlib.sha256(marks).hexdigest()[:32], len(spans)))
-            columns = list(zip(*rows)) or [[]] * (len(names) - 1)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
+                marks = np.round(read_tensor(tensor.as_py()).astype(float) * 64).astype("<i4").tobytes() + np.round(seconds * 1000).astype("<i4").tobytes()
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), hashlib.sha256(marks).hexdigest()[:32], len(spans)))
+            columns = list(zip(*rows)) or [[]] * (len(names) - 2)
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
-    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_segments long")
+    return featured.mapInArrow(lean(run), f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_segments long")
 
 
 def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    media = stored(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    return digest(features(media))
 
 
 QUERIES = {"op3_audio_features": op3_audio_features}
