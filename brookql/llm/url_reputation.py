@@ -8,7 +8,13 @@ overall rate.  Each level's prior is a beta distribution whose mean is the paren
 posterior mean and whose strength is estimated from the level's own over-dispersion
 (method of moments for beta-binomial counts).  A page passes if the lower posterior
 bound of its host's rate, mean - z * standard deviation, is at least `min_bound`.
-Rules go before reputation; the longest rule that fits wins.
+Rules go before reputation; the longest rule that fits wins, of equally long ones the
+one that is listed last.  Up to `CASE_RULES` rules are one expression; more are a table
+that the urls' host suffixes and path beginnings are joined to, with the same result.
+
+The prior levels look at the host without its port.  A suffix is the last label, or the
+last two where those are in `SUFFIXES`; a registered domain has one label more.  A host
+that is an IPv4 address is a domain and a suffix of its own.
 
 Counts are pre-aggregated by host before anything is joined.  The table of hosts is
 written out and joined to the pages; Spark broadcasts it only below its size
@@ -17,7 +23,9 @@ threshold and otherwise splits a hot host's pages between tasks.
 Defined results: a null url or one without `://` has an empty host and path, no rule,
 and is judged by the overall rate like any unlabelled host.  Several labels for one
 document count as bad if any is.  Without labels every bound is that of the flat
-prior, so pages without a rule are blocked.  Repeated rows are judged one by one.
+prior, so pages without a rule are blocked.  Repeated rows are judged one by one; an
+empty table gives an empty table.  Only id and url are looked at, so other columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -29,7 +37,9 @@ from brookql.llm.exchange import stored
 
 UPPER, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-MAX_RULES = 1000
+CASE_RULES = 1000
+#: Public suffixes of two labels that are told apart.
+SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "org.au", "org.uk")
 Z = 1.645
 MIN_BOUND = 0.6
 
@@ -44,8 +54,6 @@ def parsed(pages: DataFrame, url: str = "url") -> DataFrame:
 
 def _case(rules, value):
     """The value of the longest fitting rule, or null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     out = F.lit(None).cast("string")
     for rule, verdict in sorted(rules, key=lambda r: len(r[0])):
         name, _, rest = rule.partition("/")
@@ -54,8 +62,28 @@ def _case(rules, value):
     return out
 
 
-def _domain(host):
-    return F.substring_index(host, ".", -2)
+def ruled(pages: DataFrame, rules, limit: int = CASE_RULES) -> DataFrame:
+    """Parsed pages with rule and ruling, the longest fitting rule and its verdict."""
+    if len(rules) <= limit:
+        return pages.withColumn("rule", _case(rules, lambda r, _: r)).withColumn("ruling", _case(rules, lambda _, v: v))
+    rows = [(name, "/" + rest, rule, verdict, k) for k, (rule, verdict) in enumerate(rules) for name, _, rest in [rule.partition("/")]]
+    table = pages.sparkSession.createDataFrame(rows, "name string, start string, rule string, ruling string, k int")
+    sizes = table.groupBy("name").agg(F.collect_set(F.length("start")).alias("sizes"))
+    labels = F.split("host", r"\.")
+    names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = pages.select("host", "path").distinct().withColumn("name", F.explode(names)).join(sizes, "name")
+    asked = asked.select("host", "path", "name", F.explode("sizes").alias("n")).withColumn("start", F.expr("substr(path, 1, n)"))
+    best = F.max_by(F.struct("rule", "ruling"), F.struct(F.length("rule"), "k")).alias("best")
+    found = asked.join(table, ["name", "start"]).groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.ruling")
+    return pages.join(found, ["host", "path"], "left")
+
+
+def _levels(host):
+    """(registered domain, suffix) of a host."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    own, two = name.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.substring_index(name, ".", -2).isin(*SUFFIXES)
+    domain = F.when(own, name).when(two, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return domain, F.when(own, name).when(two, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
 
 
 def _strength(children: DataFrame) -> DataFrame:
@@ -77,7 +105,8 @@ def reputation(pages: DataFrame, labels: DataFrame, z: float = Z) -> DataFrame:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") * (1 - F.max(F.coalesce("toxic", F.lit(0))))).cast("long").alias("good"))
     outcomes = pages.select("host", doc.alias("doc_id")).join(known, "doc_id", "left")
     hosts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    hosts = stored(hosts.withColumn("domain", _domain(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1)), "hosts")
+    domain, suffix = _levels(F.col("host"))
+    hosts = stored(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     total = hosts.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("mean"))
     level = total
     for name, key in (("suffix", "suffix"), ("domain", "domain")):
@@ -98,9 +127,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_bound: float = M
     """(key, host, path, rule, verdict, bound) of every page."""
     known = parsed(pages.select(key, "url"))
     bounds = reputation(known, labels)
-    judged = known.join(bounds, "host", "left")
+    judged = ruled(known.join(bounds, "host", "left"), rules)
     by_bound = F.when(F.col("bound") >= min_bound, "allow").otherwise("block")
-    return judged.select(key, "host", "path", _case(rules, lambda r, _: r).alias("rule"), F.coalesce(_case(rules, lambda _, v: v), by_bound).alias("verdict"), F.round("bound", 6).alias("bound"))
+    return judged.select(key, "host", "path", "rule", F.coalesce("ruling", by_bound).alias("verdict"), F.round("bound", 6).alias("bound"))
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +144,10 @@ def _sql() -> str:
             arms.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN '{value(rule, verdict)}'")
         return f"CASE {' '.join(arms)} END"
 
+    name = "regexp_replace(host, ':[0-9]*$', '')"
+    last = lambda n: f"array_to_string(list_slice(string_split({name}, '.'), -{n}, -1), '.')"
+    suffixes = ", ".join(f"'{x}'" for x in SUFFIXES)
+    level = lambda more: f"CASE WHEN regexp_full_match({name}, '[0-9]+([.][0-9]+){{3}}') THEN {name} WHEN {last(2)} IN ({suffixes}) THEN {last(2 + more)} ELSE {last(1 + more)} END"
     strength = """SELECT 1 / greatest(1e-3, least(0.999, coalesce(CASE WHEN sum(mean * (1 - mean) * (n - 1)) > 0
       THEN sum(n * power(good / n - mean, 2) - mean * (1 - mean)) / sum(mean * (1 - mean) * (n - 1)) ELSE 0.5 END, 0.5))) - 1 AS kappa
       FROM {} WHERE n > 0"""
@@ -124,7 +157,7 @@ known AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
 good AS (SELECT doc_id, CAST(min(quality) * (1 - max(coalesce(toxic, 0))) AS BIGINT) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 hosts AS (SELECT host, count(g.good) AS n, coalesce(sum(g.good), 0) AS good,
-  array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, array_to_string(list_slice(string_split(host, '.'), -1, -1), '.') AS suffix
+  {level(1)} AS domain, {level(0)} AS suffix
   FROM known LEFT JOIN good g ON g.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})([^0-9]|$)', 1) AS BIGINT) GROUP BY host),
 total AS (SELECT (coalesce(sum(good), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS mean FROM hosts),
 s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(mean) AS mean FROM hosts, total GROUP BY suffix),
