@@ -9,7 +9,7 @@ back, so a lost executor never replays an earlier stage.
    similarity of 0.8 or more) the document with the least id stays.
 3. repeated_passages: words covered by passages that documents with smaller ids have
    too are removed from the texts.
-4. benchmark_leaks: documents of which a twentieth or more is benchmark text go.
+4. benchmark_leaks: documents in which any 13-word window of a benchmark item occurs go.
 5. source_mixing: documents are repeated to their sources' target weights and
    shuffled; this adds the column `copy`.
 
