@@ -12,9 +12,9 @@ joined.  The stages:
 2. Classes.  Documents with equal sets collapse into one class, which carries its least
    id and is numbered by 64 bits of its set's hash.
 3. Candidates.  Prefix shingles of the classes are joined, in two turns.  First each shingle's most central holder (the one in whose order it
-   stands earliest) is paired with all other holders; verified members take that
-   hub's label.  Then holders with different labels are paired with one another.  A
-   group of near copies thus costs a pair a member, not a pair for every two.
+   stands earliest) is paired with all other holders; the components of the verified
+   pairs are labels.  Then holders with different labels are paired with one another.
+   A group of near copies thus costs a pair a member, not a pair for every two.
    Length, positional and suffix filters run within the join: an overlap is at most
    1 + sum over hash cells of min(shingles left in either suffix).
 4. Verification.  Each distinct pair once, by intersecting the repeated shingles; pairs
@@ -188,8 +188,7 @@ class JaccardJoin:
         hubs = stored(hubs.select("h", "hub.id", "hub.n", "hub.place", "hub.rest", "hub.cells"))
         tried = stored(_joined(rows, hubs, num, den, "x.id != y.id"))
         first = stored(_links(tried, sets, num, den))
-        label = first.select("a", "b").union(first.select("b", "a")).toDF("id", "other").groupBy("id").agg(F.min("other").alias("other"))
-        label = stored(label.select("id", F.least("id", "other").alias("label")))
+        label = components(first).toDF("id", "label")
         shared = rows.join(hubs.select("h"), "h", "left_semi").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
         shared = stored(shared)
         rest = _joined(shared, shared, num, den, "x.id < y.id and x.label != y.label").join(tried, ["a", "b"], "left_anti")
