@@ -99,35 +99,54 @@ def _counter(text: str, n: int):
     return run
 
 
-def _g2(a, b, n1: int, n0: int):
-    """Likelihood ratio of presence (a of n1, b of n0) against independence, as a column."""
+def _g2(a, b, n1: int, n0: int) -> np.ndarray:
+    """Likelihood ratio of presence (a of n1, b of n0) against independence."""
 
     def part(o, e):
-        return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+        return np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0.0)
 
-    share = (a + b) / F.lit(float(n1 + n0))
+    share = (a + b) / (n1 + n0)
     return 2 * (part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share)))
 
 
+class _Tests:
+    """The tests of a feature: for each selection k (without fold k; FOLDS: of all) and category c whether it is tried, and its G2."""
+
+    def __init__(self, sizes: dict[tuple[int, int, int], int], n: int) -> None:
+        total = lambda c, v, k: sum(s for (f, cc, vv), s in sizes.items() if cc == c and vv == v and f != k)
+        self.size = {(k, c): (total(c, 1, k), total(c, 0, k)) for k in range(FOLDS + 1) for c in range(n)}
+        self.size = {kc: s for kc, s in self.size.items() if min(s)}
+
+    def __call__(self, batch):
+        """(k, c, tried, G2) of the batch's features."""
+        for (k, c), (n1, n0) in self.size.items():
+            a, b = (sum((batch.column(f"{v}{c}_{f}").to_numpy(zero_copy_only=False) for f in range(FOLDS) if f != k), np.zeros(batch.num_rows)) for v in ("yes", "no"))
+            yield k, c, (a * n0 > 4 * b * n1) & (a >= 3), _g2(a, b, n1, n0)
+
+
 def _selected(counted: DataFrame, sizes: dict[tuple[int, int, int], int], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature hashes, and for each of FOLDS + 1 selections (without fold k; of all) which it holds."""
-    tests = {}
-    for k in range(FOLDS + 1):
-        for c in range(n):
-            total = lambda v: sum(s for (f, cc, vv), s in sizes.items() if cc == c and vv == v and f != k)  # noqa: E731, B023
-            n1, n0 = total(1), total(0)
-            if n1 and n0:
-                rest = lambda v: sum((F.col(f"{v}{c}_{f}") for f in range(FOLDS) if f != k), F.lit(0))  # noqa: E731, B023
-                a, b = rest("yes"), rest("no")
-                tests[k, c] = (a * n0 > 4 * b * n1) & (a >= 3), _g2(a, b, n1, n0)
-    if not tests:
-        return np.zeros(0, U64), np.zeros((FOLDS + 1, 0), bool)
-    tried = counted.agg(*[F.count_if(t).alias(f"t{k}_{c}") for (k, c), (t, _) in tests.items()]).head()
-    passed = [F.coalesce(F.greatest(F.lit(False), *[t & (g > 2 * math.log(max(2, tried[f"t{k}_{c}"])) - 4) for (kk, c), (t, g) in tests.items() if kk == k]), F.lit(False)).alias(f"k{k}") for k in range(FOLDS + 1)]
-    got = counted.select("h", *passed).where(" or ".join(f"k{k}" for k in range(FOLDS + 1))).toPandas()
+    tests = _Tests(sizes, n)
+
+    def count(batches):
+        for batch in batches:
+            rows = [(k, c, int(tried.sum())) for k, c, tried, _ in tests(batch)]
+            yield pa.RecordBatch.from_pylist([dict(zip("kcn", r)) for r in rows], pa.schema([("k", pa.int32()), ("c", pa.int32()), ("n", pa.int64())]))
+
+    tried = {(r.k, r.c): r.n for r in counted.mapInArrow(lean(count), "k int, c int, n long").groupBy("k", "c").agg(F.sum("n").alias("n")).collect()}
+    names = [f"k{k}" for k in range(FOLDS + 1)]
+
+    def passing(batches):
+        for batch in batches:
+            ok = np.zeros((FOLDS + 1, batch.num_rows), bool)
+            for k, c, of, g2 in tests(batch):
+                ok[k] |= of & (g2 > 2 * math.log(max(2, tried.get((k, c), 0))) - 4)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), *map(pa.array, ok)], names=["h", *names]).filter(pa.array(ok.any(axis=0)))
+
+    got = counted.mapInArrow(lean(passing), "h long, " + ", ".join(f"{k} boolean" for k in names)).toPandas()
     h = got["h"].to_numpy(np.int64).view(U64)
     order = np.argsort(h)
-    return h[order], np.stack([got[f"k{k}"].to_numpy(bool)[order] for k in range(FOLDS + 1)])
+    return h[order], np.stack([got[k].to_numpy(bool)[order] for k in names])
 
 
 class Model:
