@@ -125,8 +125,9 @@ def formatted(ctx, x: Val, n: Val, locale: Val | None = None) -> Val:
     if places is None:
         places = 0
     places = max(0, int(places))
-    name = None if locale is None else str(ctx.literal(locale) or "").lower()
-    marks = {"de": "._,", "it": "._,", "es": "._,", "fr": " _,"}.get((name or "")[:2], ",_.").split("_")
+    name = None if locale is None else str(ctx.literal(locale) or "")
+    # the dialect knows two ways of writing: decimal commas for these three, decimal points for all others
+    marks = ".," if (name or "")[:2] in ("de", "fr", "it") else ",."
 
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:

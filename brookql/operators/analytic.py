@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,12 +173,33 @@ def output_name(e: A.Node) -> str:
     return e.name if isinstance(e, A.Call | A.Field) else ""
 
 
+def advance(state: tuple[int, int | None, int], row, on: bool, ts: int | None, span: int) -> tuple[tuple[int, int | None, int], bool]:
+    """((stage, start, sequences done), whether one is done now) after a row; row: which conditions it meets.
+
+    A step is one event; the first condition restarts a sequence; a sequence that is
+    longer than the span since its first step is given up.  A row without a time is
+    within any span.
+    """
+    stage, start, done = state
+    if not on:
+        return state, False
+    if stage and span > 0 and ts is not None and start is not None and ts - start > span:
+        stage = 0
+    if row[stage]:
+        start = ts if stage == 0 else start
+        stage += 1
+    elif row[0]:
+        stage, start = 1, ts
+    if stage >= len(row):
+        return (0, start, done + 1), True
+    return (stage, start, done), False
+
+
 def with_pattern(df: DataFrame, ctx, call: A.Call, name: str) -> tuple[DataFrame, Val]:
     """Adds the value of sequence_match or sequence_count: an automaton over each partition's ordered rows.
 
-    A step is one event; the first condition restarts a sequence; a sequence that is
-    longer than the span since its first step is given up.  Only the row's identity,
-    its time and the conditions go to the automaton.
+    Rows are dealt by partition key, sorted, and stream through the automaton, which
+    keeps one state; every row comes out as it went in, with its value.
     """
     span = ctx.compile(call.args[0]).lit
     if not isinstance(span, int):
@@ -188,30 +209,21 @@ def with_pattern(df: DataFrame, ctx, call: A.Call, name: str) -> tuple[DataFrame
     keys = partition([ctx.compile(p) for p in call.partition or ()])
     flags = [f"__c{i}" for i in range(len(conditions))]
     count = call.name == "sequence_count"
-    rows = df.select("__ts", "__seq", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("__key"), when.alias("__on"), *[c.alias(n) for c, n in zip(conditions, flags)])
-    out = T.StructType([rows.schema["__ts"], rows.schema["__seq"], T.StructField(name, T.LongType() if count else T.BooleanType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # structs arrive as dicts, which do not sort
-        order = sorted(range(len(pdf)), key=lambda i: (pdf["__ts"].iat[i], tuple(s.values()) if isinstance(s := pdf["__seq"].iat[i], dict) else s))
-        pdf = pdf.iloc[order]
-        tests = list(zip(*[pdf[f] for f in flags]))
-        stage, start, done, result = 0, 0, 0, []
-        for ts, on, row in zip(pdf["__ts"], pdf["__on"], tests):
-            hit = False
-            if on:
-                if stage and span > 0 and ts - start > span:
-                    stage = 0
-                if row[stage]:
-                    if stage == 0:
-                        start = ts
-                    stage += 1
-                elif row[0]:
-                    stage, start = 1, ts
-                if stage >= len(flags):
-                    stage, done, hit = 0, done + 1, True
-            result.append(done if count else hit)
-        return pd.DataFrame({"__ts": pdf["__ts"], "__seq": pdf["__seq"], name: result})
-
-    found = rows.groupBy("__key").applyInPandas(lambda pdf: run(pdf), out)
-    return df.join(found, ["__ts", "__seq"]), Val(F.col(name), LONG if count else BOOL, False)
+    rows = df.withColumns({"__key": F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]), "__on": when, **dict(zip(flags, conditions))})
+    rows = rows.repartition("__key").sortWithinPartitions("__key", "__ts", "__seq")
+    kind, kept = (pa.int64(), T.LongType()) if count else (pa.bool_(), T.BooleanType()), df.columns
+
+    def run(batches):
+        key, state = None, (0, None, 0)
+        for batch in batches:
+            result = []
+            tests = zip(*[batch.column(f).to_pylist() for f in flags])
+            for k, ts, on, row in zip(batch.column("__key").to_pylist(), batch.column("__ts").to_pylist(), batch.column("__on").to_pylist(), tests):
+                if k != key:
+                    key, state = k, (0, None, 0)
+                state, hit = advance(state, row, on, ts, span)
+                result.append(state[2] if count else hit)
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(result, kind[0])], names=[*kept, name])
+
+    out = rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind[1])]))
+    return out, Val(F.col(name), LONG if count else BOOL, False)

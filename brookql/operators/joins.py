@@ -60,9 +60,8 @@ def join_table(df: DataFrame, left, table: DataFrame, join: A.Join, options, udf
     rows, right = named(table, join.alias)
     rows = rows.withColumnRenamed("__seq", "__tseq").drop("__ts")
     pairs, rest = equal_keys(join.on, right, join.alias, left)
-    outer = join.kind in ("left", "full")
-    if join.kind in ("right", "full") and not windowed:
-        outer = join.kind == "full"
+    # beside windows only LEFT keeps rows without a partner
+    outer = join.kind == "left" or join.kind == "full" and windowed
     how = "left" if outer else "inner"
     if join.kind == "cross" and windowed:
         return df.crossJoin(rows.drop("__tseq")), right
@@ -81,13 +80,16 @@ def join_table(df: DataFrame, left, table: DataFrame, join: A.Join, options, udf
             c = both.predicate(A.Binary("=", a, b))
             on = c if on is None else on & c
         return df.join(rows, on, how), right
+    if join.on is None:
+        # any row matches, so the first one does
+        first = rows.orderBy("__tseq").limit(1).drop("__tseq")
+        return df.join(F.broadcast(first), F.lit(True), how), right
     both = Expressions(Scope(df.limit(0).crossJoin(rows.limit(0)), [*left, (join.alias, right)]), options, udfs)
-    on = both.predicate(join.on) if join.on is not None else F.lit(True)
-    # the row's identity in a window is its window and its order
-    identity = [c for c in ("__w", "__ts", "__seq") if c in df.columns]
-    first = Window.partitionBy(*identity).orderBy("__tseq")
-    out = df.join(rows, on, how)
-    return out.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__tseq"), right
+    # rows that look alike are told apart by a number of their own, so each finds its partner
+    df = df.withColumn("__rid", F.monotonically_increasing_id())
+    first = Window.partitionBy("__rid").orderBy("__tseq")
+    out = df.join(rows, both.predicate(join.on), how)
+    return out.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__tseq", "__rid"), right
 
 
 def join_window(df: DataFrame, left, other: DataFrame, join: A.Join, options, udfs):

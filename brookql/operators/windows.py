@@ -7,10 +7,10 @@ windows at the end of the input.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brookql.functions.values import CompileError
 from brookql.operators.ordering import Ordered
@@ -102,34 +102,99 @@ def _count(df: DataFrame, size: int, hop: int | None = None) -> DataFrame:
 def _session(df: DataFrame, longest: int, gap: int, bounds: bool = True) -> DataFrame:
     """One session at a time for the whole stream; it ends at a gap over `gap` or at `longest`.
 
-    A stretch without gaps is one session unless it reaches `longest`; only the distinct
-    times of such stretches are walked through in order, to cut them.  Where the query
-    does not need the sessions' ends (bounds), they are not looked for.
+    Where a session starts depends on where the one before it started, along the whole
+    stream.  Blocks of it are worked through at once all the same:
+
+    1. Each block finds, for every time at which a session could start first in it
+       (those of its first `longest` milliseconds), where its last session would start.
+    2. One task carries the start of the open session and the last time from block to
+       block, by one look-up a block.
+    3. Each block finds its own starts.
+    4. Rows and starts are sorted together by block; a row's session is the last start.
+
+    Only times go to Python, as arrays; rows are shuffled once.
     """
-    df = Ordered(df.where("__ts is not null")).previous(F.col("__ts"), "__p").done(keep=True)
-    fresh = F.col("__p").isNull() | (F.col("__ts") - F.col("__p") > gap)
-    df = Ordered(df).last_at(F.when(fresh, F.col("__ts")), "__s").done().drop("__p")
-    over = df.where(F.col("__ts") - F.col("__s") >= longest).select("__s").distinct()
-    schema = T.StructType([T.StructField("__s", T.LongType()), T.StructField("__ts", T.LongType()), T.StructField("__ws", T.LongType())])
-
-    def cut(times: pd.DataFrame) -> pd.DataFrame:
-        # rows of one time share their session
-        t = times.sort_values("__ts", ignore_index=True)
-        starts, start = [], None
-        for x in t["__ts"]:
-            if start is None or x - start >= longest:
-                start = x
-            starts.append(start)
-        t["__ws"] = starts
-        return t
-
-    times = df.join(over, "__s", "left_semi").select("__s", "__ts").distinct().groupBy("__s").applyInPandas(cut, schema)
-    df = df.join(times, ["__s", "__ts"], "left").withColumn("__ws", F.coalesce("__ws", "__s")).drop("__s")
+    df = Ordered(df.where("__ts is not null")).df
+    times = df.select("__block", "__ts").distinct()
+    entry = times.groupBy("__block").applyInArrow(lambda t: _entries(t, longest, gap), "__block int, first long, last long, at binary, to binary")
+    # a block's look-up table is as large as what lies in `longest`, whatever the block's own size
+    carried = entry.repartition(1).sortWithinPartitions("__block").mapInArrow(lambda bs: _carry(bs, longest, gap), "__block int, open long, before long")
+    starts = times.groupBy("__block").cogroup(carried.groupBy("__block")).applyInArrow(lambda t, c: _starts(t, c, longest, gap), "__block int, __ts long, __ws long, last long")
     if bounds:
-        df = df.join(df.groupBy("__ws").agg((F.max("__ts") + gap).alias("__we")), "__ws")
+        # a session that goes on in later blocks ends with the last of them
+        starts = starts.join(starts.groupBy("__ws").agg((F.max("last") + gap).alias("__we")), "__ws")
     else:
-        df = df.withColumn("__we", F.col("__ws"))
-    return df.withColumn("__w", F.col("__ws"))
+        starts = starts.withColumn("__we", F.col("__ws"))
+    marks = starts.select("__block", "__ts", F.lit(0).alias("__kind"), F.struct("__ws", "__we").alias("__s"))
+    together = df.withColumn("__kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    upto = Window.partitionBy("__block").orderBy("__ts", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = together.withColumn("__s", F.last("__s", ignorenulls=True).over(upto)).where("__kind = 1")
+    return out.withColumns({"__w": F.col("__s.__ws"), "__ws": F.col("__s.__ws"), "__we": F.col("__s.__we")}).drop("__s", "__kind", "__block")
+
+
+def _sorted_times(table: pa.Table) -> np.ndarray:
+    return np.sort(table.column("__ts").to_numpy())
+
+
+def _following(t: np.ndarray, longest: int, gap: int) -> tuple[np.ndarray, int]:
+    """For a session that starts at t[i], where the next one starts (len(t): not here), and the first time after a gap."""
+    n = len(t)
+    breaks = np.flatnonzero(np.diff(t) > gap) + 1
+    broken = np.append(breaks, n)[np.searchsorted(breaks, np.arange(n), side="right")]
+    return np.minimum(np.searchsorted(t, t + longest), broken), int(breaks[0]) if len(breaks) else n
+
+
+def _entries(table: pa.Table, longest: int, gap: int) -> pa.Table:
+    t = _sorted_times(table)
+    n = len(t)
+    following, broken = _following(t, longest, gap)
+    last = np.where(following < n, following, np.arange(n))
+    while not np.array_equal(far := last[last], last):
+        last = far
+    # sessions open before t[0] are over by t[0] + longest, or by the first gap
+    k = min(n, max(1, int(np.searchsorted(t, t[0] + longest)) + 1), broken + 1)
+    return pa.table({"__block": pa.array([table.column("__block")[0].as_py()], pa.int32()), "first": [int(t[0])], "last": [int(t[-1])], "at": [t[:k].tobytes()], "to": [t[last[:k]].tobytes()]})
+
+
+def _carry(batches, longest: int, gap: int):
+    open_, before = None, None
+    for batch in batches:
+        rows = []
+        for block in batch.to_pylist():
+            rows.append((block["__block"], open_, before))
+            at, to = np.frombuffer(block["at"], np.int64), np.frombuffer(block["to"], np.int64)
+            if open_ is None or block["first"] - before > gap:
+                open_ = int(to[0])
+            else:
+                # without a time of `longest` or more in the table, its last entry is the first after a gap, if there is one
+                i = int(np.searchsorted(at, open_ + longest))
+                i = i if i < len(at) else int(np.append(np.flatnonzero(np.diff(at) > gap) + 1, len(at))[0])
+                open_ = int(to[i]) if i < len(at) else open_
+            before = block["last"]
+        b, o, t = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(o, pa.int64()), pa.array(t, pa.int64())], names=["__block", "open", "before"])
+
+
+def _starts(table: pa.Table, carried: pa.Table, longest: int, gap: int) -> pa.Table:
+    """(block, time from which it holds, start, last time here) of the sessions of a block."""
+    t = _sorted_times(table)
+    n = len(t)
+    block, open_, before = (carried.column(c)[0].as_py() for c in ("__block", "open", "before"))
+    following, broken = _following(t, longest, gap)
+    starts, holds = [], []
+    i = 0
+    if open_ is not None and t[0] - before <= gap:
+        starts, holds = [open_], [0]
+        i = min(int(np.searchsorted(t, open_ + longest)), broken)
+        if i == 0:
+            starts, holds = [], []
+    following = following.tolist()
+    while i < n:
+        starts.append(int(t[i]))
+        holds.append(i)
+        i = following[i]
+    holds = np.array(holds, np.int64)
+    return pa.table({"__block": pa.array([block] * len(starts), pa.int32()), "__ts": t[holds], "__ws": pa.array(starts, pa.int64()), "last": t[np.append(holds[1:], n) - 1]})
 
 
 def _state(df: DataFrame, w: A.Window, predicate, value) -> DataFrame:

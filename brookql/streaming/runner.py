@@ -24,6 +24,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from brookql.functions import ANALYTIC
 from brookql.functions.values import BOOL, DOUBLE, LONG, CompileError, Val, as_bool, as_double
 from brookql.operators import windows
+from brookql.operators.analytic import advance
 from brookql.plans import ast as A
 from brookql.plans.parser import parse_select
 from brookql.plans.planner import Planner, check
@@ -170,19 +171,8 @@ def fold(name: str, m, x: list, on: bool, ts: int, literals: list):
         if on and not (len(literals) > 3 and literals[3] is True and v is None):
             m = [*m, v][-n:]
         return m, out
-    span, (stage, start, done) = literals[0], m or (0, 0, 0)
-    hit = False
-    if on:
-        if stage and span > 0 and ts - start > span:
-            stage = 0
-        if x[stage]:
-            start = ts if stage == 0 else start
-            stage += 1
-        elif x[0]:
-            stage, start = 1, ts
-        if stage >= len(x):
-            stage, done, hit = 0, done + 1, True
-    return (stage, start, done), done if name == "sequence_count" else hit
+    m, hit = advance(m or (0, None, 0), x, on, ts, literals[0])
+    return m, m[2] if name == "sequence_count" else hit
 
 
 def stream(engine: Engine, sql: str, late_tolerance: int = 0, **options) -> DataFrame:
