@@ -90,6 +90,10 @@ class Planner:
         self.errors.append(df.select(message.alias("error"), F.lit(source).alias("source"), F.to_json(F.struct(*[quoted(c) for c in public])).alias("row")).where("error is not null"))
         return df.where(message.isNull())
 
+    def _assign(self, df: DataFrame, w: A.Window, predicate, value, bounds: bool = True) -> DataFrame:
+        """Rows with their windows; all windows close with the input."""
+        return windows.assign(df, w, predicate, value, bounds)
+
     # -- statement
 
     def _select(self, sel: A.Select) -> DataFrame:
@@ -113,7 +117,7 @@ class Planner:
             ctx = self._exprs(df, sources, known)
             # the ends of sessions order the groups of these, too
             ends = sel.order or sel.limit is not None or any(isinstance(n, A.Call) and (n.name in ANALYTIC or n.name in ("window_end", "last_agg_hit_count", "last_agg_hit_time")) for n in A.walk((sel.items, sel.having)))
-            df = windows.assign(df, sel.window, ctx.predicate, ctx.compile, bool(ends))
+            df = self._assign(df, sel.window, ctx.predicate, ctx.compile, bool(ends))
         if grouped:
             return self._grouped(sel, df, sources, known, outer)
         if sel.having is not None:
@@ -140,7 +144,7 @@ class Planner:
             if sel.window.filter is not None:
                 ctx = self._exprs(df, sources)
                 df = df.where(ctx.predicate(sel.window.filter))
-            df = windows.assign(df, replace(sel.window, filter=None), None, None)
+            df = self._assign(df, replace(sel.window, filter=None), None, None)
         for j in sel.joins:
             other = self.catalog[j.table]
             rows, _ = other.frame()
@@ -151,7 +155,7 @@ class Planner:
                     if sel.window.filter is not None:
                         ctx = self._exprs(rows, [(j.alias, {c: c for c in rows.columns})])
                         rows = rows.where(ctx.predicate(sel.window.filter))
-                    rows = windows.assign(rows, replace(sel.window, filter=None), None, None)
+                    rows = self._assign(rows, replace(sel.window, filter=None), None, None)
                 if "asof" in j.kind:
                     df, right = joins.join_asof(df, sources, rows, j, self.options, self.udfs)
                 else:

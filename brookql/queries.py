@@ -237,7 +237,7 @@ DECLARED = ("declared", "last_order", "last_suppliers", "last_value", "coarse",
 ROUNDED = {
     "filter_project": "v", "tumbling_by_key": "a s", "tumbling_global": "sp ss md p", "tumbling_top_k": "s", "hopping_by_type": "s", "sliding_counts": "s",
     "count_window": "s", "count_window_overlapping": "s", "count_window_sampled": "s", "aggregates_in_expressions": "w", "lineitem_pricing": "q r d", "analytic_when": "s", "window_join_grouped": "s",
-    "fn_math_powers": "s p e n l lb l2 l10", "fn_math_trigonometry": "s c t a b d e f g h i j k p", "arithmetic_integer": "f", "select_star_except_replace": "value", "fn_arrays_numbers": "a b c", "stream_filter": "v", "percentile_cont": "p d m",
+    "fn_math_powers": "s p e n l lb l2 l10", "fn_math_trigonometry": "s c t a b d e f g h i j k p", "arithmetic_integer": "f", "select_star_except_replace": "value", "fn_arrays_numbers": "a b c", "stream_filter": "v", "percentile_cont": "p d m", "stream_count": "s", "stream_top_k": "s",
 }
 
 
@@ -296,15 +296,48 @@ def graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Rule("graph", graph=graph).plan(engine(spark, sf_dir)).rows
 
 
+def _carried(name: str, text: str):
+    """The statement over the events file by micro-batches with carried rows, delivered to files and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from brookql.streaming.runner import start
+
+        conf = spark.sparkContext.getConf()
+        shared = (conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+        folder = f"{shared}/{name}-{uuid.uuid4().hex}"
+        schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+        e = Engine(spark)
+        e.register("events", spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir), ORDER["events"], timestamp="ts")
+        query = start(e, text, f"{folder}/checkpoint", [{"file": {"path": f"{folder}/out", "fileType": "parquet"}}])
+        query.awaitTermination()
+        return rounded(name, spark.read.parquet(f"{folder}/out"))
+
+    run.__name__ = name
+    return run
+
+
+_RIPE = f"(SELECT * FROM {EV} WHERE t < (SELECT max(t) FROM {EV}))"
+#: Windows that the watermark, the newest event time, has not passed stay open.
+CARRIED = {
+    "stream_session": ("SELECT window_start() AS ws, window_end() AS we, count(*) AS c, max(value) AS m FROM events GROUP BY SESSIONWINDOW(mi, 100000, 6)", f"SELECT * FROM ({Q['session_window'][1].replace(EV, _RIPE)}) WHERE we < (SELECT max(t) FROM {EV})"),
+    "stream_sliding": (Q["sliding_when_by_key"][0], Q["sliding_when_by_key"][1].replace("WHERE a", f"WHERE a.t < (SELECT max(t) FROM {EV}) AND a")),
+    "stream_count": (Q["count_window"][0], Q["count_window"][1].replace(EV, _RIPE)),
+    "stream_state_window": (Q["state_window_two_by_key"][0], Q["state_window_two_by_key"][1].replace(EV, _RIPE) + " HAVING arg_max(event_type, (t, event_id)) = 'purchase'"),
+    "stream_join": ("SELECT a.event_id AS x, b.event_id AS y, window_end() AS we FROM events AS a INNER JOIN events AS b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' GROUP BY TUMBLINGWINDOW(mi, 30)", f"SELECT a.event_id AS x, b.event_id AS y, a.w + {30 * MINUTE} AS we FROM {_PAIR} a JOIN {_PAIR} b ON a.w = b.w AND a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' WHERE a.w + {30 * MINUTE} <= (SELECT max(t) FROM {EV})"),
+    "stream_top_k": (Q["tumbling_top_k"][0], Q["tumbling_top_k"][1] + f" AND ws + {24 * HOUR} <= (SELECT max(t) FROM {EV})"),
+}
+
 STREAMS = {
     "stream_filter": ("SELECT event_id, value * 2 AS v FROM events WHERE event_type = 'view'", "SELECT event_id, value * 2 AS v FROM events WHERE event_type = 'view'"),
     # windows that the watermark has not passed stay open
     "stream_tumbling": ("SELECT event_type, window_start() AS ws, count(*) AS c, max(value) AS m FROM events GROUP BY event_type, TUMBLINGWINDOW(hh, 1)", f"SELECT event_type, t - t % {HOUR} AS ws, count(*) AS c, max(value) AS m FROM {EV} GROUP BY event_type, t - t % {HOUR} HAVING t - t % {HOUR} + {HOUR} <= (SELECT max(t) FROM {EV})"),
+    "stream_union": ("SELECT event_id, event_type FROM events WHERE value > 50 UNION SELECT event_id, event_type FROM events WHERE user_id < 20", "SELECT event_id, event_type FROM events WHERE value > 50 OR user_id < 20"),
     "stream_state": ("SELECT event_id, acc_count(value) OVER (PARTITION BY user_id) AS c, lag(event_id) OVER (PARTITION BY user_id) AS l, had_changed(event_type) OVER (PARTITION BY user_id) AS h FROM events", f"SELECT event_id, count(value) {UP} AS c, lag(event_id) {W} AS l, coalesce(lag(event_type) {W} <> event_type, true) AS h FROM {EV}"),
 }
 
 QUERIES = {name: _run(name, text) for name, (text, _) in Q.items()}
 QUERIES |= {name: _stream(name, text) for name, (text, _) in STREAMS.items()}
+QUERIES |= {name: _carried(name, text) for name, (text, _) in CARRIED.items()}
 QUERIES["graph_filter"] = graph_filter
-ORACLE_SQL = {name: rounded_sql(name, duck) for name, (_, duck) in (Q | STREAMS).items() if duck}
+ORACLE_SQL = {name: rounded_sql(name, duck) for name, (_, duck) in (Q | STREAMS | CARRIED).items() if duck}
 ORACLE_SQL["graph_filter"] = "SELECT event_id, value, upper(event_type) AS kind FROM events WHERE value > 30"

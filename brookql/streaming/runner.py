@@ -7,7 +7,12 @@
 * State functions: one keyed operator that keeps each partition's state across
   micro-batches.  Rows of a micro-batch arrive in any order, so each key's rows are
   sorted by event time and tie-break before they are folded.
-Other windows and ORDER BY or LIMIT run in batch mode (Engine.sql).
+* UNION ALL of such statements; UNION also drops repeated rows, for as long as the
+  stream runs.
+* Other windows, joins of streams, and ORDER BY or LIMIT of a window: by micro-batches
+  with carried rows (microbatch.py), which only start() can run.
+
+Rows whose expressions fail are left out; start() writes them to the folder `errors`.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from brookql.plans import ast as A
 from brookql.plans.parser import parse_select
 from brookql.plans.planner import Planner, check
 from brookql.session import Engine
+from brookql.streaming.microbatch import MicroBatches
 
 FOLDED = ("acc_sum", "acc_count", "acc_avg", "acc_min", "acc_max", "acc_max_by", "acc_min_by", "acc_collect", "acc_distinct_collect", "distinct_acc", "lag", "had_changed", "changed_col", "row_number", "sequence_match", "sequence_count")
 
@@ -40,14 +46,20 @@ class StreamPlanner(Planner):
 
     def stream(self, sql: str) -> DataFrame:
         sel = parse_select(sql)
+        out = self._one(sel)
+        while sel.union is not None:
+            out = out.unionByName(self._one(sel.union), allowMissingColumns=True)
+            if not sel.union_all:
+                out = out.dropDuplicates()
+            sel = sel.union
+        return out
+
+    def _one(self, sel: A.Select) -> DataFrame:
+        sel = replace(sel, union=None)
         check(sel, self.catalog, self.udfs)
-        if sel.order or sel.limit is not None or sel.union is not None:
-            raise CompileError("ORDER BY, LIMIT and UNION run in batch mode")
-        if sel.window is None:
-            return self._select(sel)
-        if sel.window.kind not in ("tumbling", "hopping") or any(not self.catalog[j.table].table for j in sel.joins):
-            raise CompileError(f"{sel.window.kind} windows and window joins run in batch mode")
-        return self._windowed(sel)
+        if carried(self.catalog, sel) or sel.order or sel.limit is not None:
+            raise CompileError("this statement runs by micro-batches (start) or in batch mode")
+        return self._select(sel) if sel.window is None else self._windowed(sel)
 
     def _windowed(self, sel: A.Select) -> DataFrame:
         df, sources, _ = self._sources(replace(sel, window=None))
@@ -175,32 +187,57 @@ def fold(name: str, m, x: list, on: bool, ts: int, literals: list):
     return m, m[2] if name == "sequence_count" else hit
 
 
+def carried(catalog, sel: A.Select) -> bool:
+    """Whether a statement's windows need rows carried from batch to batch."""
+    if sel.window is None:
+        return False
+    return sel.window.kind not in ("tumbling", "hopping") or bool(sel.order) or sel.limit is not None or any(not catalog[j.table].table for j in sel.joins)
+
+
 def stream(engine: Engine, sql: str, late_tolerance: int = 0, **options) -> DataFrame:
     """The statement as a streaming DataFrame; its FROM source must be one."""
     return StreamPlanner(engine, late_tolerance, **options).stream(sql)
 
 
-def start(engine: Engine, sql: str, checkpoint: str, actions: list[dict] | None = None, name: str | None = None, late_tolerance: int = 0, trigger: dict | None = None, **options):
+def start(engine: Engine, sql: str, checkpoint: str, actions: list[dict] | None = None, name: str | None = None, late_tolerance: int = 0, trigger: dict | None = None, errors: str | None = None, **options):
     """Start the statement as a query that carries out the actions on each micro-batch.
 
-    The checkpoint folder must be shared; a restarted query goes on from it.
+    The checkpoint folder must be shared; a restarted query goes on from it.  errors: a
+    folder for the rows that failed, as JSON lines with their messages.
     """
     from brookql.sources.writers import write
 
-    df = stream(engine, sql, late_tolerance, **options)
-    writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
-    if name:
-        writer = writer.queryName(name)
-    if not actions:
-        return writer.format("memory").start()
+    sel = parse_select(sql)
+    trigger = trigger or {"availableNow": True}
 
-    def deliver(batch: DataFrame, _: int) -> None:
-        batch.persist()
+    def deliver(rows: DataFrame, failed: DataFrame | None = None) -> None:
+        rows.persist()
         try:
-            for action in actions:
+            for action in actions or ():
                 for kind, props in action.items():
-                    write(engine, batch, kind, props | {"append": True})
+                    write(engine, rows, kind, props | {"append": True})
         finally:
-            batch.unpersist()
-
-    return writer.foreachBatch(deliver).start()
+            rows.unpersist()
+        if failed is not None and errors:
+            failed.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(errors)
+
+    if carried(engine.catalog, sel):
+        if not actions:
+            raise CompileError("micro-batches need actions")
+        step = MicroBatches(engine, sel, f"{checkpoint.rstrip('/')}/rows", late_tolerance, lambda plan, _: deliver(plan.rows, plan.dead_letters()), options)
+        writer = step.rows().writeStream.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(step)
+        return (writer.queryName(name) if name else writer).start()
+    planner = StreamPlanner(engine, late_tolerance, **options)
+    df = planner.stream(sql)
+    if errors and planner.errors:
+        failed = planner.errors[0]
+        for e in planner.errors[1:]:
+            failed = failed.unionByName(e)
+        failed = failed.select(F.to_json(F.struct("*")).alias("value"))
+        failed.writeStream.format("text").option("path", errors).option("checkpointLocation", f"{checkpoint.rstrip('/')}/errors").trigger(**trigger).start()
+    writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(**trigger)
+    if name:
+        writer = writer.queryName(name)
+    if not actions:
+        return writer.format("memory").start()
+    return writer.foreachBatch(lambda batch, _: deliver(batch)).start()
