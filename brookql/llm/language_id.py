@@ -7,14 +7,18 @@ prediction.  Families are told apart by one-versus-one machines too.
 Features are counts of hashed byte n-grams (1 to 3 bytes, A-Z lower-cased, anything
 but letters and non-ASCII bytes folded to one blank) of the whole text, square-rooted
 and scaled to unit length.  Learning takes at most `PER_LANGUAGE` labelled texts of
-each language, those of least hash, from rows that are not held out; of a held-out
+each language, those of least hash, and at most `SAMPLE` in all (with many languages,
+fewer of each), from rows that are not held out; of a held-out
 row (crc32 of the id mod 4 is 2) neither text nor language is looked at.  Prediction
 uses the text alone.
 
 Defined results: a null text or one without a letter is `und` with score 0.  Without
 any labelled text everything is `und`.  With one language that language is predicted,
 with score 1.  A language without a given family is a family of its own.  Rows
-without an id are not held out.  Ties go to the language that sorts first.
+without an id are not held out.  Ties go to the language that sorts first.  Repeated
+rows are learned from and predicted one by one; an empty table gives an empty table.  A
+very long text is counted whole, and takes some 60 times its bytes of memory while it
+is.  Only id, text and language are looked at, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from brookql.llm.text import LOWER, chunks, lean, row_sums, utf8
 U64 = np.uint64
 WIDTH = 1 << 11
 PER_LANGUAGE = 800
+SAMPLE = 32_000
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ru": "slavic", "pl": "slavic", "cs": "slavic", "uk": "slavic"}
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -118,11 +123,12 @@ def held_out(key):
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", families: dict[str, str] | None = None, per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from at most per_language texts of each language."""
+    """Learn from at most per_language texts of each language, and SAMPLE in all."""
     known = docs.select(key, text, lang).where(F.col(lang).isNotNull() & ~held_out(key) & (F.length(text) > 0))
     order = Window.partitionBy(lang).orderBy(F.xxhash64(key, lang), key)
     # first a share of each language by hash, half as large again as wanted, so that no language is sorted whole
     sizes = known.groupBy(lang).agg(F.count("*").alias("n"))
+    per_language = max(1, min(per_language, SAMPLE // max(1, sizes.count())))
     share = F.pmod(F.xxhash64(lang, key), F.lit(1 << 30)) / float(1 << 30)
     known = known.join(F.broadcast(sizes), lang).where(share * F.col("n") <= 1.5 * per_language + 50)
     ids = known.select(key, lang).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select(key).distinct()
