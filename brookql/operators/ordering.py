@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def below(bounds: list, c: Column) -> Column:
@@ -21,7 +22,7 @@ def below(bounds: list, c: Column) -> Column:
 
 
 class Ordered:
-    """df with `__block`; equal times share a block.  Order is by __ts, then __seq.
+    """df with `__block`; equal times share a block, unless all are equal.  Order is by __ts, then __seq.
 
     The methods note columns to add; done() adds them all with one aggregate a block,
     one carry and one join, so the input is read twice, however many there are.
@@ -36,7 +37,14 @@ class Ordered:
         n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         bounds = []
         if n > 1:
-            found = df.select(F.percentile_approx("__ts", [i / n for i in range(1, n)], 20 * n)).head()[0]
+            probs = [i / n for i in range(1, n)]
+            whole = isinstance(df.schema["__seq"].dataType, T.LongType)
+            cut = lambda c: F.percentile_approx(c, probs, 20 * n)
+            found, first, last, timed, rows, order = df.select(cut("__ts"), F.min("__ts"), F.max("__ts"), F.count("__ts"), F.count("*"), cut("__seq") if whole else F.lit(None)).head()
+            if order and (timed == 0 or timed == rows and first == last):
+                # all rows have one time, or none: the tie-break alone orders them
+                self.df = df.withColumn("__block", below(sorted(set(order)), F.col("__seq")).cast("int"))
+                return
             bounds = sorted(set(found or []))
         # a null time sorts first, as in any ascending order
         block = F.when(F.col("__ts").isNull(), -1).otherwise(below(bounds, F.col("__ts"))) if bounds else F.lit(0)

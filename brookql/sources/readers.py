@@ -62,15 +62,77 @@ def decode(raw: DataFrame, d: A.Definition, column: str = "value") -> DataFrame:
     raise CompileError(f"format {how} is not supported here")
 
 
-def otlp_metrics(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Data points of OTLP JSON metric exports: name, value, time_unix_nano, attributes."""
-    attr = "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>>>"
-    point = f"struct<asDouble:double,asInt:string,timeUnixNano:string,attributes:{attr}>"
-    metric = f"struct<name:string,unit:string,gauge:struct<dataPoints:array<{point}>>,sum:struct<dataPoints:array<{point}>>>"
-    schema = f"struct<resourceMetrics:array<struct<resource:struct<attributes:{attr}>,scopeMetrics:array<struct<metrics:array<{metric}>>>>>>"
-    m = raw.select(F.from_json(F.col(column).cast("string"), schema).alias("x")).select(F.explode("x.resourceMetrics").alias("r")).select(F.explode("r.scopeMetrics").alias("s")).select(F.explode("s.metrics").alias("m"))
-    points = m.select("m.name", "m.unit", F.explode(F.concat(F.coalesce("m.gauge.dataPoints", F.array().cast(f"array<{point}>")), F.coalesce("m.sum.dataPoints", F.array().cast(f"array<{point}>")))).alias("p"))
-    return points.select("name", "unit", F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double")).alias("value"), F.col("p.timeUnixNano").cast("long").alias("time_unix_nano"), F.map_from_entries(F.transform("p.attributes", lambda a: F.struct(a["key"], F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["doubleValue"].cast("string"), a["value"]["boolValue"].cast("string"))))).alias("attributes"))
+_ATTRIBUTES = "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>>>"
+_POINTS = f"struct<dataPoints:array<struct<asDouble:double,asInt:string,count:string,sum:double,min:double,max:double,timeUnixNano:string,startTimeUnixNano:string,attributes:{_ATTRIBUTES}>>>"
+#: Of an OTLP JSON export: what its resources, scopes and records are called, and what a record holds.
+OTLP = {
+    "metric": ("resourceMetrics", "scopeMetrics", "metrics", f"struct<name:string,unit:string,gauge:{_POINTS},sum:{_POINTS},histogram:{_POINTS}>"),
+    "log": ("resourceLogs", "scopeLogs", "logRecords", f"struct<severityText:string,severityNumber:bigint,body:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>,traceId:string,spanId:string,timeUnixNano:string,observedTimeUnixNano:string,attributes:{_ATTRIBUTES}>"),
+    "span": ("resourceSpans", "scopeSpans", "spans", f"struct<name:string,traceId:string,spanId:string,parentSpanId:string,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:string,message:string>,attributes:{_ATTRIBUTES}>"),
+}
+
+
+def _any_value(v):
+    return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
+
+
+def _attributes(a):
+    return F.map_from_entries(F.transform(F.coalesce(a, F.array().cast(_ATTRIBUTES)), lambda x: F.struct(x["key"], _any_value(x["value"]))))
+
+
+def otlp(raw: DataFrame, column: str = "value") -> DataFrame:
+    """OTLP JSON exports of metrics, logs and traces as flat rows; `signal` says which, other signals' columns are null."""
+    parts = []
+    for signal, (resources, scopes, records, record) in OTLP.items():
+        schema = f"struct<{resources}:array<struct<resource:struct<attributes:{_ATTRIBUTES}>,{scopes}:array<struct<{records}:array<{record}>>>>>>"
+        r = raw.select(F.from_json(F.col(column).cast("string"), schema).alias("x")).select(F.explode(f"x.{resources}").alias("r"))
+        r = r.select(_attributes(F.col("r.resource.attributes")).alias("resource"), F.explode(f"r.{scopes}").alias("s")).select("resource", F.explode(f"s.{records}").alias("d"))
+        common = [F.lit(signal).alias("signal"), "resource"]
+        if signal == "metric":
+            kinds = F.array(*[F.struct(F.lit(k).alias("type"), F.col(f"d.{k}.dataPoints").alias("points")) for k in ("gauge", "sum", "histogram")])
+            r = r.withColumn("k", F.explode(kinds)).withColumn("p", F.explode("k.points"))
+            histogram = F.col("k.type") == "histogram"
+            value = F.when(histogram, F.coalesce("p.sum", F.lit(0.0))).otherwise(F.coalesce("p.asDouble", F.col("p.asInt").cast("double")))
+            count = F.when(histogram, F.coalesce(F.col("p.count").cast("long"), F.lit(0)))
+            parts.append(r.select(*common, F.coalesce("d.name", F.lit("unknown")).alias("name"), "k.type", F.coalesce("d.unit", F.lit("")).alias("unit"), value.alias("value"), count.alias("count"), "p.min", "p.max", F.coalesce("p.timeUnixNano", "p.startTimeUnixNano").cast("long").alias("timestamp_unix_nano"), _attributes(F.col("p.attributes")).alias("attributes")))
+        elif signal == "log":
+            parts.append(r.select(*common, F.coalesce("d.severityText", F.lit("INFO")).alias("severity_text"), F.coalesce("d.severityNumber", F.lit(9)).alias("severity_number"), _any_value(F.col("d.body")).alias("body"), F.coalesce("d.traceId", F.lit("")).alias("trace_id"), F.coalesce("d.spanId", F.lit("")).alias("span_id"), F.coalesce("d.timeUnixNano", "d.observedTimeUnixNano").cast("long").alias("timestamp_unix_nano"), _attributes(F.col("d.attributes")).alias("attributes")))
+        else:
+            start, end = F.col("d.startTimeUnixNano").cast("long"), F.col("d.endTimeUnixNano").cast("long")
+            parts.append(r.select(*common, F.coalesce("d.name", F.lit("unknown")).alias("name"), F.coalesce("d.traceId", F.lit("")).alias("trace_id"), F.coalesce("d.spanId", F.lit("")).alias("span_id"), F.coalesce("d.parentSpanId", F.lit("")).alias("parent_span_id"), F.greatest(end - start, F.lit(0)).alias("duration_ns"), F.coalesce("d.status.code", "d.status.message").alias("status_code"), start.alias("timestamp_unix_nano"), _attributes(F.col("d.attributes")).alias("attributes")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def _sql(spark: SparkSession, d: A.Definition) -> DataFrame:
+    """A database table: rows beyond INDEX_VALUE of INDEX_FIELD, asked of the database, read in parts if PARTITION_FIELD's bounds are given."""
+    o = d.options
+    table = o.get("TABLE", d.options.get("DATASOURCE", ""))
+    if "INDEX_FIELD" in o and "INDEX_VALUE" in o:
+        value = o["INDEX_VALUE"]
+        literal = value if o.get("INDEX_TYPE", "").lower() in ("bigint", "int", "float", "double") else "'" + value.replace("'", "''") + "'"
+        table = f"(SELECT * FROM {table} WHERE {o['INDEX_FIELD']} > {literal}) AS polled"
+    options = {"url": o["URL"], "dbtable": table, "fetchsize": o.get("FETCH_SIZE", "10000")}
+    if "PARTITION_FIELD" in o:
+        options |= {"partitionColumn": o["PARTITION_FIELD"], "lowerBound": o["LOWER_BOUND"], "upperBound": o["UPPER_BOUND"], "numPartitions": o.get("PARTITIONS", "8")}
+    if "DRIVER" in o:
+        options["driver"] = o["DRIVER"]
+    return spark.read.format("jdbc").options(**options).load()
+
+
+def _simulated(spark: SparkSession, d: A.Definition, rows: list, stream: bool) -> DataFrame:
+    """The rows of DATA once; as a stream, one after the other for ever, a row every INTERVAL (1,000) milliseconds."""
+    texts = [json.dumps(r) for r in rows]
+    if not stream:
+        return decode(spark.createDataFrame([(t,) for t in texts], "value string"), d) if d.columns else spark.read.json(spark.createDataFrame([(t,) for t in texts], "value string").rdd.map(lambda r: r.value))
+    if not d.columns:
+        raise CompileError("a simulator that streams declares its columns")
+    interval = max(1, int(d.options.get("INTERVAL", "1000")))
+    ticks = spark.readStream.format("rate-micro-batch").options(rowsPerBatch=max(1, 1000 // interval), advanceMillisPerBatch=max(interval, 1000)).load()
+    turn = F.get(F.array(*[F.lit(t) for t in texts]), F.pmod("value", F.lit(len(texts))).cast("int"))
+    return decode(ticks.select(turn.alias("value")), d)
 
 
 def open_source(spark: SparkSession, d: A.Definition, stream: bool = False) -> DataFrame:
@@ -78,6 +140,8 @@ def open_source(spark: SparkSession, d: A.Definition, stream: bool = False) -> D
     kind = d.options.get("TYPE", "mqtt").lower()
     path = d.options.get("DATASOURCE", "")
     reader = spark.readStream if stream else spark.read
+    if kind == "otlp" and "LANDING" in d.options:
+        return otlp(reader.text(d.options["LANDING"], wholetext=d.options.get("WHOLE", "false").lower() == "true"))
     if kind in BROKERS and "LANDING" in d.options:
         return decode(reader.text(d.options["LANDING"]), d)
     if kind == "file":
@@ -97,14 +161,9 @@ def open_source(spark: SparkSession, d: A.Definition, stream: bool = False) -> D
     if kind == "memory":
         return reader.table(path) if stream else spark.table(path)
     if kind in ("simulator", "random"):
-        rows = json.loads(d.options.get("DATA", "[]"))
-        if stream:
-            raise CompileError("a simulator streams by its rows' table; open it in batch")
-        text = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
-        return decode(text, d) if d.columns else spark.read.json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
+        return _simulated(spark, d, json.loads(d.options.get("DATA", "[]")), stream)
     if kind == "sql":
-        options = {"url": d.options["URL"], "dbtable": d.options.get("TABLE", path)}
-        return spark.read.format("jdbc").options(**options).load()
+        return _sql(spark, d)
     if kind == "kafka":
         options = {"kafka.bootstrap.servers": d.options.get("BROKERS", "localhost:9092"), "subscribe": path, "startingOffsets": "earliest"}
         return decode(reader.format("kafka").options(**options).load().select("value"), d)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import logging
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +88,7 @@ def write(engine, df: DataFrame, kind: str, props: dict | None = None) -> None:
         shaped(df, props).createOrReplaceTempView(props["topic"].replace("/", "_"))
     elif kind == "file":
         how = str(props.get("fileType", "json")).lower()
+        props, df = _rolled(props, df)
         if how == "parquet":
             shaped(df, props).write.mode(mode).parquet(props["path"])
         elif how in ("csv", "delimited"):
@@ -112,8 +114,23 @@ def write(engine, df: DataFrame, kind: str, props: dict | None = None) -> None:
         raise CompileError(f"unknown action {kind}")
 
 
+def _rolled(props: dict, df: DataFrame) -> tuple[dict, DataFrame]:
+    """File options and rows for rolling: a file holds at most rollingCount rows; a folder takes what is written within rollingInterval milliseconds."""
+    if n := int(props.get("rollingCount", 0)):
+        df.sparkSession.conf.set("spark.sql.files.maxRecordsPerFile", n)
+    else:
+        df.sparkSession.conf.unset("spark.sql.files.maxRecordsPerFile")
+    if ms := int(props.get("rollingInterval", 0)):
+        begun = int(time.time() * 1000) // ms * ms
+        props = props | {"path": f"{props['path'].rstrip('/')}/{begun}"}
+    return props, df
+
+
 def _poster(props: dict):
+    tries, wait = 1 + int(props.get("retryCount", 3)), float(props.get("retryInterval", 100)) / 1000
+
     def post(rows) -> None:
+        import urllib.error
         import urllib.request
 
         size, batch = int(props.get("batchSize", 1)), []
@@ -121,7 +138,15 @@ def _poster(props: dict):
         def send() -> None:
             body = batch[0] if size <= 1 else "[" + ",".join(batch) + "]"
             request = urllib.request.Request(props["url"], body.encode(), {"Content-Type": "application/json"} | props.get("headers", {}), method=props.get("method", "POST").upper())
-            urllib.request.urlopen(request, timeout=float(props.get("timeout", 5000)) / 1000).close()
+            for k in range(tries):
+                try:
+                    urllib.request.urlopen(request, timeout=float(props.get("timeout", 5000)) / 1000).close()
+                    return
+                except OSError as e:
+                    # a refusal is final; a busy or failing server is asked again, each time later
+                    if k == tries - 1 or isinstance(e, urllib.error.HTTPError) and e.code < 500 and e.code != 429:
+                        raise
+                    time.sleep(wait * 2**k)
 
         for r in rows:
             batch.append(r["value"])

@@ -107,3 +107,123 @@ def test_error_policies(spark, tmp_path):
     plan = Rule("r", text, actions=[{"nop": {}}], options={"onError": "dlq", "dlqPath": str(tmp_path / "dlq")}).run(e)
     assert [r.x for r in plan.rows.collect()] == [2.0]
     assert json.loads(spark.read.text(str(tmp_path / "dlq")).collect()[0].value)["row"] == '{"v":0}'
+
+
+def test_otlp_metrics_logs_and_traces(spark, tmp_path):
+    attrs = [{"key": "host", "value": {"stringValue": "a"}}, {"key": "n", "value": {"intValue": "3"}}]
+    point = {"timeUnixNano": "17", "attributes": attrs}
+    export = [
+        {"resourceMetrics": [{"resource": {"attributes": attrs}, "scopeMetrics": [{"metrics": [{"name": "m", "unit": "s", "gauge": {"dataPoints": [point | {"asDouble": 1.5}]}}, {"name": "h", "histogram": {"dataPoints": [point | {"count": "4", "sum": 9.0, "min": 1, "max": 5}]}}, {"sum": {"dataPoints": [point | {"asInt": "7"}]}}]}]}]},
+        {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"body": {"stringValue": "hi"}, "timeUnixNano": "5"}]}]}]},
+        {"resourceSpans": [{"scopeSpans": [{"spans": [{"name": "op", "traceId": "t", "startTimeUnixNano": "10", "endTimeUnixNano": "25", "status": {"code": 1}}]}]}]},
+    ]
+    (tmp_path / "o.txt").write_text("\n".join(json.dumps(e) for e in export))
+    e = Engine(spark)
+    e.define(f'CREATE STREAM o () WITH (TYPE="otlp", LANDING="{tmp_path}/o.txt")')
+    rows = e.sql("SELECT signal, name, type, value, count, severity_text, body, duration_ns, timestamp_unix_nano AS t FROM o").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(
+        [("metric", "m", "gauge", 1.5, None, None, None, None, 17), ("metric", "h", "histogram", 9.0, 4, None, None, None, 17), ("metric", "unknown", "sum", 7.0, None, None, None, None, 17), ("log", None, None, None, None, "INFO", "hi", None, 5), ("span", "op", None, None, None, None, None, 15, 10)], key=str
+    )
+    assert {r.host for r in e.sql("SELECT attributes['host'] AS host FROM o WHERE signal = 'metric'").collect()} == {"a"}
+
+
+def test_files_by_definition(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,v\n1,x\n2,y\n")
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    spark.createDataFrame([(1, "p")], "id long, v string").write.parquet(f"{tmp_path}/a.parquet")
+    e = Engine(spark)
+    e.define(f'CREATE STREAM c (id BIGINT, v TEXT) WITH (TYPE="file", DATASOURCE="{tmp_path}/a.csv", FILETYPE="csv", HASHEADER="true")')
+    e.define(f'CREATE STREAM l () WITH (TYPE="file", DATASOURCE="{tmp_path}/a.txt", FILETYPE="lines")')
+    e.define(f'CREATE STREAM p (id BIGINT, v TEXT) WITH (TYPE="file", DATASOURCE="{tmp_path}/a.parquet", FILETYPE="parquet")')
+    assert sorted(map(tuple, e.sql("SELECT * FROM c").collect())) == [(1, "x"), (2, "y")]
+    assert sorted(r.self for r in e.sql("SELECT self FROM l").collect()) == ["one", "two"]
+    assert [tuple(r) for r in e.sql("SELECT id, v FROM p").collect()] == [(1, "p")]
+
+
+def test_simulator_streams(spark, tmp_path):
+    from brookql.plans.parser import parse_definition
+    from brookql.sources.readers import open_source
+
+    d = parse_definition("""CREATE STREAM sim (a BIGINT, b TEXT) WITH (TYPE="simulator", INTERVAL="100", DATA='[{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]')""")
+    query = open_source(spark, d, stream=True).writeStream.format("memory").queryName("sims").option("checkpointLocation", str(tmp_path)).trigger(processingTime="0 seconds").start()
+    try:
+        for _ in range(200):
+            if spark.table("sims").count() >= 20:
+                break
+            query.awaitTermination(0.2)
+    finally:
+        query.stop()
+    rows = [tuple(r) for r in spark.table("sims").collect()]
+    assert set(rows) == {("1", "x"), ("2", "y")} or set(rows) == {(1, "x"), (2, "y")}
+
+
+def test_rolling_files_and_retries(spark, tmp_path):
+    import http.server
+    import threading
+
+    from brookql.sources.writers import write
+
+    df = spark.range(10).coalesce(1).withColumnRenamed("id", "a")
+    write(None, df, "file", {"path": f"{tmp_path}/r", "rollingCount": 3, "rollingInterval": 3_600_000})
+    files = list((tmp_path / "r").glob("*/part-*"))
+    assert len(files) == 4 and sum(len(f.read_text().splitlines()) for f in files) == 10
+    write(None, df, "file", {"path": f"{tmp_path}/one"})
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1
+    got, fail = [], [2]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            if fail[0]:
+                fail[0] -= 1
+                self.send_response(503)
+            else:
+                got.append(json.loads(body))
+                self.send_response(200)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        write(None, df.limit(3), "rest", {"url": f"http://127.0.0.1:{server.server_port}/", "retryInterval": 5})
+    finally:
+        server.shutdown()
+    assert sorted(r["a"] for r in got) == [0, 1, 2]
+
+
+def test_database_rows_beyond_the_index(spark, monkeypatch):
+    from brookql.plans.parser import parse_definition
+    from brookql.sources import readers
+
+    asked = {}
+
+    class Reader:
+        def format(self, kind):
+            return self
+
+        def options(self, **o):
+            asked.update(o)
+            return self
+
+        def load(self):
+            return "rows"
+
+    class Session:
+        read = Reader()
+
+    d = parse_definition("""CREATE STREAM q (id BIGINT) WITH (TYPE="sql", URL="jdbc:x", TABLE="t", INDEX_FIELD="id", INDEX_VALUE="41", INDEX_TYPE="bigint", PARTITION_FIELD="id", LOWER_BOUND="0", UPPER_BOUND="100", PARTITIONS="4")""")
+    assert readers.open_source(Session(), d) == "rows"
+    assert asked["dbtable"] == "(SELECT * FROM t WHERE id > 41) AS polled" and (asked["partitionColumn"], asked["numPartitions"]) == ("id", "4")
+
+
+def test_streams_without_times_are_cut_by_their_order(spark):
+    from brookql.operators.ordering import Ordered
+
+    e = Engine(spark)
+    e.register("s", spark.range(1000).selectExpr("id", "id % 7 as v"), ("id",))
+    assert Ordered(e.catalog["s"].frame()[0]).df.select("__block").distinct().count() > 1
+    assert sorted(map(tuple, e.sql("SELECT id, acc_sum(v) OVER () AS s, lag(id) OVER () AS l FROM s").collect()))[:4] == [(0, 0, None), (1, 1, 0), (2, 3, 1), (3, 6, 2)]
+    assert e.sql("SELECT count(*) AS c, min(id) AS i FROM s GROUP BY COUNTWINDOW(300)").where("c = 300").count() == 3
