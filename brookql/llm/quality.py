@@ -1,21 +1,29 @@
 """Quality classification by co-training (operator 7).
 
-Two views describe a document: its text (shape and repetition of bytes, words and
-lines, and hashed trigrams of bytes) and its metadata (source, language, recorded
-length).  Each view has a linear classifier.  Starting from labelled documents, in
-each round either classifier labels all unlabelled documents that it is sure of, and
-hands them to the *other* view's training set.  Both are then calibrated on labelled
-documents kept out of training (Platt scaling), and their log-odds are added with
-weights fitted on the same documents; that score is computed for every document.
+Two views describe a document: its text content (shape and repetition of bytes, words
+and lines, and hashed trigrams of bytes) and the metadata of the page that it came from
+(host, registered domain and suffix, path and query, and the page's markup: its size and
+the shares of text, paragraphs, links, lists, scripts and other tags), with the
+document's source, language and recorded length.  A page belongs to the document whose
+id its url's path names; of several the one with the least id counts; a document without
+a page has its own flag.
+
+Each view has a linear classifier.  Starting from labelled documents, in each round
+either classifier labels all unlabelled documents that it is sure of, and hands them to
+the *other* view's training set.  Both are then calibrated on labelled documents kept
+out of training (Platt scaling), and their log-odds are added with weights fitted on
+others of these; that score is computed for every document.
+
+`views` reads every whole text once and stores a compact row a document: the text
+features (trigram shares in one byte each), the metadata and the label.  The features,
+not the texts, are joined to pages and labels by id, so text is never shuffled.
 
 Fitting uses at most `SAMPLE` labelled documents of either label, those of least hash,
-fetched as fixed-width feature rows, and every unlabelled document.  A round is one
-pass over the unlabelled documents on the executors: each task adds up, for either
-view and label, the gradient of the loss over the documents handed over and the
-curvature of a quadratic bound on it, and the sums of all tasks, with those of the
-labelled rows, give one step of the view to the bound's least point.  No document leaves
-the executors; labelled ids are sent to them, eight bytes each.  Labels are given anew
-in each round.  Scoring reads every document's whole text.
+and every unlabelled document.  A round is one pass over the unlabelled rows on the
+executors: each task adds up, for either view and label, the gradient of the loss over
+the documents handed over and the curvature of a quadratic bound on it, and the sums of
+all tasks, with those of the labelled rows, give one step of the view to the bound's
+least point.  No document leaves the executors.  Labels are given anew in each round.
 
 An unlabelled document has no label or no id; labelled ones beyond the sample are not
 handed over.
@@ -38,8 +46,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brookql.llm.exchange import stored
 from brookql.llm.linear import Sparse, folds, logistic, sigmoid
 from brookql.llm.text import SPACED, Words, chunks, lean, row_sums, utf8, word_hash
+from brookql.llm.url_reputation import document_of, levels, parsed
 
 U64 = np.uint64
 SAMPLE = 4000
@@ -49,6 +59,8 @@ SURE = 0.95
 THRESHOLD = 0.3
 GRAMS = 512
 META = 256
+#: Rows looked at together.
+ROWS = 2048
 
 
 def _ratio(a, b):
@@ -105,20 +117,83 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.column_stack([dense, grams]).astype(np.float32)
 
 
-def _slot(kind: str, value) -> int:
-    return zlib.crc32(f"{kind}={value}".encode()) % (META - 4)
+#: Text features of either kind: plain ones, kept as floats, and trigram shares, kept as bytes.
+PLAIN = 5 + 9 + 3 + 2
+TAGS = ("<p", "<a ", "<li", "<script", "<div", "<br", "<h", "<!--")
+#: Numbers of a page, in the order of page_numbers.
+NUMBERS = 7 + len(TAGS)
 
 
-def meta_features(sources: list, langs: list, chars: list) -> np.ndarray:
-    out = np.zeros((len(sources), META), np.float32)
-    for i, (s, g, c) in enumerate(zip(sources, langs, chars)):
-        out[i, _slot("source", s)] = 1
-        out[i, _slot("lang", g)] = 1
+def pack(x: np.ndarray) -> list[bytes]:
+    """text_features' rows in compact form."""
+    plain, grams = x[:, :PLAIN].astype("<f4"), np.round(x[:, PLAIN:] * 255).astype(np.uint8)
+    return [a.tobytes() + b.tobytes() for a, b in zip(plain, grams)]
+
+
+def unpack(column) -> np.ndarray:
+    raw = np.frombuffer(b"".join(v.as_py() for v in column), np.uint8).reshape(-1, 4 * PLAIN + GRAMS)
+    plain = np.ascontiguousarray(raw[:, : 4 * PLAIN]).view("<f4")
+    return np.column_stack([plain, raw[:, 4 * PLAIN :].astype(np.float32) / 255])
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """(doc, names, numbers) of the documents' pages; DataFrame functions only."""
+    known = parsed(pages.select("page_id", "url", "html"))
+    domain, suffix = levels(F.col("host"))
+    html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
+    size = F.octet_length(html)
+    count = lambda tag: (size - F.octet_length(F.replace(html, F.lit(tag), F.lit("")))) / len(tag)
+    share = lambda n: (100 * n / F.greatest(size, F.lit(1))).cast("float")
+    text = F.regexp_replace(F.regexp_replace(html, "(?s)<(script|style).*?</(script|style)>", ""), "<[^>]*>", "")
+    numbers = [F.log1p(size).cast("float"), F.log1p(F.octet_length(text)).cast("float"), share(F.octet_length(text)) / 100, (F.length(F.col("path")) / 20).cast("float"), F.size(F.split("path", "/")).cast("float"), url.contains("?").cast("float"), url.startswith("https").cast("float"), *[share(count(t)) for t in TAGS]]
+    names = F.array(F.concat(F.lit("host="), "host"), F.concat(F.lit("domain="), domain), F.concat(F.lit("suffix="), suffix), F.concat(F.lit("part="), F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit(""))))
+    rows = known.select(document_of(F.col("path")).alias("doc"), "page_id", names.alias("names"), F.array(*numbers).alias("numbers")).where("doc is not null")
+    return rows.groupBy("doc").agg(F.min_by(F.struct("names", "numbers"), "page_id").alias("page")).select("doc", "page.names", "page.numbers")
+
+
+def _slot(name: str) -> int:
+    return zlib.crc32(name.encode()) % META
+
+
+def meta_features(sources: list, langs: list, chars: list, names: list, numbers: list) -> np.ndarray:
+    out = np.zeros((len(sources), META + 5 + NUMBERS), np.float32)
+    for i, (s, g, c, named, page) in enumerate(zip(sources, langs, chars, names, numbers)):
+        for name in (f"source={s}", f"lang={g}", *(named or ())):
+            out[i, _slot(name)] = 1
         size = np.log1p(max(c or 0, 0)) / 10
-        out[i, -4:] = (c is None, size, size * size, size < 0.4)
+        out[i, META : META + 5] = (c is None, size, size * size, size < 0.4, page is None)
+        if page is not None:
+            out[i, META + 5 :] = page
     return out
 
 
+def views(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, key: str = "doc_id", text: str = "text", label: str = "quality", source: str = "source", lang: str = "lang", chars: str = "n_chars") -> DataFrame:
+    """A stored row a document: id, y (its label or null), t (text features), source, lang, chars, names, numbers."""
+
+    def featured(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for lo, hi in chunks(offsets, rows=512):
+                a, b = offsets[lo], offsets[hi]
+                t = text_features(data[a:b], offsets[lo : hi + 1] - a)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("id", "source", "lang", "chars")), pa.array(pack(t), pa.binary())], names=["id", "source", "lang", "chars", "t"])
+
+    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(chars).cast("long").alias("chars"))
+    rows = plain.mapInArrow(lean(featured), "id long, source string, lang string, chars long, t binary")
+    one = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(label).cast("int").alias("y"))
+    rows = rows.join(one, "id", "left")
+    if pages is None:
+        rows = rows.withColumns({"names": F.lit(None).cast("array<string>"), "numbers": F.lit(None).cast("array<float>")})
+    else:
+        rows = rows.join(page_rows(pages).withColumnRenamed("doc", "id"), "id", "left")
+    return stored(rows, "views")
+
+
+def both(batch) -> list[np.ndarray]:
+    """The two views' features of rows of views()."""
+    return [unpack(batch.column("t")), meta_features(*(batch.column(c).to_pylist() for c in ("source", "lang", "chars", "names", "numbers")))]
+
+
 class View:
     """A standardised logistic model of one view, with Platt scaling."""
 
@@ -193,72 +268,49 @@ def handed(views: list[View], xs: list[np.ndarray]) -> list[np.ndarray]:
 
 def co_train(xs: list[np.ndarray], y: np.ndarray, ask, fold: np.ndarray, rounds: int = ROUNDS) -> Model:
     """ask(views) gives the sums of handed() over all unlabelled documents."""
-    held = fold == 0
-    if y.min(initial=1) == y.max(initial=0) or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+    held, fused, trained = fold == 0, fold == 1, fold > 1
+    if min(len(set(y[part])) for part in (held, fused, trained)) < 2:
         return Model([], np.zeros(2), 0.0, float(y.mean()) if len(y) else 1.0)
-    views = [View(x[~held], y[~held]) for x in xs]
+    views = [View(x[trained], y[trained]) for x in xs]
     for _ in range(rounds):
         for v in (0, 1):
             # confidence is only worth handing on once it is calibrated
             views[v].a, views[v].c = 1.0, 0.0
-            views[v].calibrate(xs[v][~held], y[~held])
+            views[v].calibrate(xs[v][trained], y[trained])
         for view, x, given in zip(views, xs, ask(views)):
-            view.step(view.sums(x[~held], y[~held]) + given)
+            view.step(view.sums(x[trained], y[trained]) + given)
+    # calibration and fusion each have rows of their own, of those kept out of training
     for v in (0, 1):
         views[v].a, views[v].c = 1.0, 0.0
         views[v].calibrate(xs[v][held], y[held])
-    none = Sparse.of([np.zeros(0, np.int64)] * int(held.sum()), 1)
-    m = np.column_stack([view.margin(x[held]) for view, x in zip(views, xs)])
-    _, w, b = logistic(none, m, y[held], l2=1e-4, steps=1000)
+    none = Sparse.of([np.zeros(0, np.int64)] * int(fused.sum()), 1)
+    m = np.column_stack([view.margin(x[fused]) for view, x in zip(views, xs)])
+    _, w, b = logistic(none, m, y[fused], l2=1e-4, steps=1000)
     return Model(views, w, b, float(y.mean()))
 
 
-def _views(batch, lo: int, hi: int, data, offsets, source: str, lang: str, chars: str):
-    part = batch.slice(lo, hi - lo)
-    return [text_features(data, offsets), meta_features(*(part.column(c).to_pylist() for c in (source, lang, chars)))]
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", source: str = "source", lang: str = "lang", chars: str = "n_chars", sample: int = SAMPLE) -> Model:
-    one = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("y"))
-    order = F.xxhash64(F.col(key))
-    chosen = one.where("y = 1").orderBy(order, key).limit(sample).union(one.where("y = 0").orderBy(order, key).limit(sample))
-    # at most 2 * sample rows of (id, label)
-    rows = docs.select(key, text, source, lang, chars).join(F.broadcast(chosen), key)
-
-    def featured(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(text))
-            for lo, hi in chunks(offsets, rows=512):
-                a, b = offsets[lo], offsets[hi]
-                t, m = _views(batch, lo, hi, data[a:b], offsets[lo : hi + 1] - a, source, lang, chars)
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), pa.array([r.tobytes() for r in t], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], names=["id", "y", "t", "m"])
-
-    got = rows.mapInArrow(lean(featured), "id long, y int, t binary, m binary").toArrow()
+def fit(table: DataFrame, sample: int = SAMPLE) -> Model:
+    """Co-train on rows of views()."""
+    order = F.xxhash64("id"), "id"
+    chosen = [table.where(f"y = {v}").orderBy(*order).limit(sample) for v in (1, 0)]
+    got = chosen[0].union(chosen[1]).toArrow()
     ids, y = got.column("id").to_numpy(), got.column("y").to_numpy()
-    xs = [np.frombuffer(b"".join(v.as_py() for v in got.column(c)), np.float32).reshape(len(y), -1) if len(y) else np.zeros((0, 1), np.float32) for c in ("t", "m")]
+    xs = both(got) if len(y) else [np.zeros((0, 1), np.float32)] * 2
     turn = np.lexsort([xs[0][:, 0], ids]) if len(y) else np.zeros(0, np.int64)
     ids, y, xs = ids[turn], y[turn], [x[turn] for x in xs]
-    named = docs.sparkSession.sparkContext.broadcast(np.sort(one.select(F.col(key).cast("long")).toArrow().column(0).to_numpy()))
-    return co_train(xs, y.astype(float), lambda views: _asked(docs, named, views, key, text, source, lang, chars), folds(ids, 4))
+    return co_train(xs, y.astype(float), lambda views: _asked(table, views), folds(ids, 6))
 
 
-def _asked(docs: DataFrame, named, views: list[View], key: str, text: str, source: str, lang: str, chars: str) -> list[np.ndarray]:
-    """The sums of handed() over all rows of docs whose id is not among `named`, a flat array cut into PARTS and added up on the executors."""
-    sent = docs.sparkSession.sparkContext.broadcast(views)
+def _asked(table: DataFrame, views: list[View]) -> list[np.ndarray]:
+    """The sums of handed() over all unlabelled rows, a flat array cut into PARTS and added up on the executors."""
+    sent = table.sparkSession.sparkContext.broadcast(views)
     ddl = "part int, sums binary"
 
     def add(batches):
         total = None
         for batch in batches:
-            ids = batch.column(key).cast(pa.int64())
-            plain = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(named.value, plain)
-            labelled = (at < len(named.value)) & (named.value[np.minimum(at, len(named.value) - 1)] == plain) if len(named.value) else np.zeros(len(plain), bool)
-            batch = batch.filter(pa.array(ids.is_null().to_numpy(zero_copy_only=False) | ~labelled))
-            data, offsets = utf8(batch.column(text))
-            for lo, hi in chunks(offsets, rows=512):
-                a, b = offsets[lo], offsets[hi]
-                flat = np.concatenate([g.ravel() for g in handed(sent.value, _views(batch, lo, hi, data[a:b], offsets[lo : hi + 1] - a, source, lang, chars))])
+            for lo in range(0, batch.num_rows, ROWS):
+                flat = np.concatenate([g.ravel() for g in handed(sent.value, both(batch.slice(lo, ROWS)))])
                 total = flat if total is None else total + flat
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in np.array_split(total, PARTS)], pa.binary())], names=["part", "sums"])
@@ -271,30 +323,30 @@ def _asked(docs: DataFrame, named, views: list[View], key: str, text: str, sourc
                 total[part] = total[part] + got if part in total else got
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([p.tobytes() for p in total.values()], pa.binary())], names=["part", "sums"])
 
-    got = docs.select(key, text, source, lang, chars).mapInArrow(lean(add), ddl).repartition(PARTS, "part").mapInArrow(lean(fold), ddl).collect()
+    got = table.where("y is null").mapInArrow(lean(add), ddl).repartition(PARTS, "part").mapInArrow(lean(fold), ddl).collect()
     shapes = [(2, 1 + d + d * (d + 1) // 2) for d in (len(v.w) + 1 for v in views)]
     flat = np.concatenate([np.frombuffer(r.sums) for r in sorted(got, key=lambda r: r.part)]) if got else np.zeros(sum(a * b for a, b in shapes))
     cut = shapes[0][0] * shapes[0][1]
     return [flat[:cut].reshape(shapes[0]), flat[cut:].reshape(shapes[1])]
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", chars: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, p_text, p_meta, quality, keep) of every document."""
+def score(table: DataFrame, model: Model, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """(key, p_text, p_meta, quality, keep) of every row of views()."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(text))
-            for lo, hi in chunks(offsets, rows=512):
-                a, b = offsets[lo], offsets[hi]
-                p, q = model.scores(_views(batch, lo, hi, data[a:b], offsets[lo : hi + 1] - a, source, lang, chars))
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), pa.array(p[:, 0].astype(float)), pa.array(p[:, 1].astype(float)), pa.array(q.astype(float)), pa.array(q >= threshold if model.views else np.ones(hi - lo, bool))], names=[key, "p_text", "p_meta", "quality", "keep"])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                p, q = model.scores(both(part))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(p[:, 0].astype(float)), pa.array(p[:, 1].astype(float)), pa.array(q.astype(float)), pa.array(q >= threshold if model.views else np.ones(part.num_rows, bool))], names=[key, "p_text", "p_meta", "quality", "keep"])
 
-    return docs.select(key, text, source, lang, chars).mapInArrow(lean(run), f"`{key}` long, p_text double, p_meta double, quality double, keep boolean")
+    return table.mapInArrow(lean(run), f"`{key}` long, p_text double, p_meta double, quality double, keep boolean")
 
 
 def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = views(read("documents"), read("labels"), read("pages"))
+    return score(table, fit(table))
 
 
 QUERIES = {"op7_quality_cotraining": op7_quality_cotraining}

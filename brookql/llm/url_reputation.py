@@ -52,6 +52,12 @@ def parsed(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit("")))
 
 
+def document_of(path):
+    """The id of the document that a path names, its first number; ids beyond a long are no documents."""
+    digits = F.nullif(F.regexp_extract(path, "/([0-9]{1,18})([^0-9]|$)", 1), F.lit(""))
+    return F.try_to_number(digits, F.lit("9" * 18)).cast("long")
+
+
 def _case(rules, value):
     """The value of the longest fitting rule, or null."""
     out = F.lit(None).cast("string")
@@ -78,7 +84,7 @@ def ruled(pages: DataFrame, rules, limit: int = CASE_RULES) -> DataFrame:
     return pages.join(found, ["host", "path"], "left")
 
 
-def _levels(host):
+def levels(host):
     """(registered domain, suffix) of a host."""
     name = F.regexp_replace(host, ":[0-9]*$", "")
     own, two = name.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.substring_index(name, ".", -2).isin(*SUFFIXES)
@@ -100,12 +106,11 @@ def _strength(children: DataFrame) -> DataFrame:
 
 def reputation(pages: DataFrame, labels: DataFrame, z: float = Z) -> DataFrame:
     """(host, bound) of every host of parsed pages."""
-    # ids beyond a long are no documents
-    doc = F.try_to_number(F.nullif(F.regexp_extract("path", "/([0-9]{1,18})([^0-9]|$)", 1), F.lit("")), F.lit("9" * 18)).cast("long")
+    doc = document_of(F.col("path"))
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") * (1 - F.max(F.coalesce("toxic", F.lit(0))))).cast("long").alias("good"))
     outcomes = pages.select("host", doc.alias("doc_id")).join(known, "doc_id", "left")
     hosts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    domain, suffix = _levels(F.col("host"))
+    domain, suffix = levels(F.col("host"))
     hosts = stored(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     total = hosts.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("mean"))
     level = total

@@ -431,7 +431,7 @@ def test_rules_by_table_as_by_expression(spark):
 def test_prior_levels(spark):
     hosts = {"a.b.example.com:80": ("example.com", "com"), "www.shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "10.0.0.1:8080": ("10.0.0.1", "10.0.0.1"), "": ("", ""), "local": ("local", "local")}
     df = spark.createDataFrame([(h,) for h in hosts], "host string")
-    domain, suffix = url_reputation._levels(df.host)
+    domain, suffix = url_reputation.levels(df.host)
     assert {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
 
 

@@ -146,14 +146,17 @@ def test_language_votes_in_plain_loops(spark):
 
 def test_quality_scores_in_plain_loops(spark):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
-    model = quality.fit(docs, labels)
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    table = quality.views(docs, labels, pages)
+    model = quality.fit(table)
     if not model.views:
         pytest.skip("too few labels")
-    by_id = {r.doc_id: r for r in docs.collect()}
-    for r in quality.score(docs, model).limit(30).collect():
-        d = by_id[r.doc_id]
+    by_id, of_page = {r.doc_id: r for r in docs.collect()}, {r.doc: r for r in quality.page_rows(pages).collect()}
+    for r in quality.score(table, model).limit(30).collect():
+        d, page = by_id[r.doc_id], of_page.get(r.doc_id)
         raw = np.frombuffer((d.text or "").encode(), np.uint8)
-        views = [quality.text_features(raw, np.array([0, len(raw)]))[0], quality.meta_features([d.source], [d.lang], [d.n_chars])[0]]
+        views = [quality.text_features(raw, np.array([0, len(raw)]))[0], quality.meta_features([d.source], [d.lang], [d.n_chars], [page and page.names], [page and page.numbers])[0]]
+        views[0][quality.PLAIN :] = np.round(views[0][quality.PLAIN :] * 255) / 255
         words = re.findall(rb"[^\x20\x09-\x0D]+", raw.tobytes().lower())
         assert views[0][:2] == pytest.approx([math.log1p(len(raw)), math.log1p(len(words))], rel=1e-5)
         margins = []
