@@ -59,7 +59,7 @@ def test_compression_reads_every_id(spark, tmp_path):
 def test_no_statement_reads_a_part_of_its_table():
     for name, (text, sql) in queries.Q.items():
         for t in (text, sql or ""):
-            assert not re.search(r"\b(event_id|doc_id|vec_id) < \d|substr\(text", t), name
+            assert not re.search(r"\b(event_id|doc_id|vec_id) < \d|[^_]substr\(text", t), name
 
 
 def test_hashes_of_texts(spark):
