@@ -52,7 +52,7 @@ def compile_call(ctx, call: A.Call, order: tuple[str, ...] = ("__ts", "__seq"),
         return Val(F.coalesce(*[F.when(t, v.c) for t, v in zip(tests, cols)]), cols[0].t)
     x = args[0]
     if name == "lag":
-        return _lag(ctx, x, args, w, before, when)
+        return _lag(ctx, x, args, partition(keys), order, when)
     if name == "acc_count":
         return Val(F.count(gate(x.c)).over(upto), LONG, False)
     if name == "acc_sum":
@@ -124,7 +124,9 @@ def change(c: Column, before) -> Column:
     return c.isNotNull() & ~c.eqNullSafe(F.last(c, ignorenulls=True).over(before))
 
 
-def _lag(ctx, x: Val, args: list[Val], w, before, when) -> Val:
+def _lag(ctx, x: Val, args: list[Val], keys: list[Column], order, when) -> Val:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before = w.rowsBetween(UNBOUNDED, -1)
     n = args[1].lit if len(args) > 1 else 1
     if not isinstance(n, int):
         raise CompileError("the offset of lag must be a literal")
@@ -141,8 +143,10 @@ def _lag(ctx, x: Val, args: list[Val], w, before, when) -> Val:
     elif n == 1:
         found = F.last(F.when(push, box), ignorenulls=True).over(before)
     else:
-        pushed = F.collect_list(F.when(push, box)).over(before)
-        found = F.get(pushed, F.size(pushed) - n)
+        # of each row that is kept, the one kept n - 1 rows earlier; of any row, that of the last one kept before it
+        push = F.coalesce(push, F.lit(False))
+        back = F.lag(box, n - 1).over(Window.partitionBy(*keys, push).orderBy(*order))
+        found = F.last(ctx.stage(F.when(push, F.struct(back.alias("b")))), ignorenulls=True).over(before)["b"]
     return Val(F.when(found.isNull(), default).otherwise(found["v"]) if default is not None else found["v"], x.t)
 
 

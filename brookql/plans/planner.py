@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brookql.functions import AGGREGATES, ANALYTIC, FUNCTIONS, WIDENING
-from brookql.functions.values import LONG, CompileError, Val
+from brookql.functions.values import DOUBLE, LONG, CompileError, Val
 from brookql.operators import aggregates, analytic, joins, windows
 from brookql.operators.ordering import Ordered
 from brookql.plans import ast as A
@@ -58,7 +58,28 @@ def check(sel: A.Select, catalog: Catalog, udfs: dict) -> None:
             raise CompileError("streams join only within a window")
 
 
+FRAMED = ("count", "sum", "avg", "min", "max")
+
+
+def framable(sel: A.Select) -> bool:
+    """Whether a statement asks of its sliding windows nothing but counts, sums, averages and extremes of all their rows."""
+
+    def plain(e) -> bool:
+        if isinstance(e, A.Call) and e.name in FRAMED and e.partition is None:
+            return True
+        if isinstance(e, A.Ident | A.Star) or isinstance(e, A.Call) and (e.name in AGGREGATES or e.name in ANALYTIC or e.name in WIDENING):
+            return False
+        parts = (getattr(e, f) for f in e.__dataclass_fields__) if isinstance(e, A.Node) else e if isinstance(e, tuple) else ()
+        return all(plain(x) for x in parts if isinstance(x, A.Node | tuple))
+
+    w = sel.window
+    return w.kind == "sliding" and len(w.args) == 1 and not sel.keys and all(plain(e) for e in (*(i.expr for i in sel.items), sel.having, *(e for e, _ in sel.order)) if e is not None)
+
+
 class Planner:
+    #: Whether sliding windows may be window frames.
+    frames = True
+
     def __init__(self, catalog: Catalog, options: dict | None = None, udfs: dict | None = None) -> None:
         self.catalog, self.options, self.udfs = catalog, options or {}, udfs or {}
         self.errors: list[DataFrame] = []
@@ -113,6 +134,8 @@ class Planner:
             condition = ctx.predicate(sel.where)
             df = self._sound(df, ctx.errors, sel.source)
             df = df.where(condition)
+        if grouped and not windowed and self.frames and framable(sel):
+            return self._framed(sel, df, sources, known)
         if sel.window is not None and not windowed:
             ctx = self._exprs(df, sources, known)
             # the ends of sessions order the groups of these, too
@@ -276,6 +299,56 @@ class Planner:
             out = out.where(hctx.predicate(sel.having))
         return self._project(sel, out.withColumn("__seq", F.col("__ord")), [(sel.alias, columns_above)], above)
 
+    def _framed(self, sel: A.Select, df: DataFrame, sources, known) -> DataFrame:
+        """Sliding windows as range frames: no row is paired with a trigger.
+
+        Rows are dealt by stretches of the window's length, each with the stretch before
+        it; a frame of earlier times and one of rows of the same time, up to the trigger,
+        make a window.
+        """
+        (size,) = windows.lengths(sel.window)
+        ctx = self._exprs(df, sources, known)
+        if sel.window.filter is not None:
+            df = df.where(ctx.predicate(sel.window.filter))
+        on = F.lit(True) if sel.window.when is None else F.coalesce(ctx.predicate(sel.window.when), F.lit(False))
+        nodes = [e for e in (*(i.expr for i in sel.items), sel.having, *(e for e, _ in sel.order)) if e is not None]
+        calls = list(dict.fromkeys(n for e in nodes for n in A.walk(e) if isinstance(n, A.Call) and n.name in FRAMED))
+        values = [Val(F.lit(1).cast("long"), LONG) if isinstance(c.args[0], A.Star) else ctx.compile(c.args[0]) for c in calls]
+        df = self._sound(df, ctx.errors, sel.source).where("__ts is not null")
+        if size <= 0:
+            df = df.where("false")
+        inputs = [aggregates.as_long(v) if c.name == "sum" and v.is_int else aggregates.as_double(v) if c.name in ("sum", "avg") else v.c for c, v in zip(calls, values)]
+        home = F.floor(F.col("__ts") / max(size, 1))
+        rows = df.select("__ts", "__seq", on.alias("__on"), home.alias("__home"), *[x.alias(f"__x{i}") for i, x in enumerate(inputs)])
+        rows = rows.withColumn("__b", F.explode(F.array(F.col("__home"), F.col("__home") + 1)))
+        peers = Window.partitionBy("__b", "__ts").orderBy("__seq").rowsBetween(Window.unboundedPreceding, 0)
+        early = Window.partitionBy("__b").orderBy("__ts").rangeBetween(-size, -1)
+        above: dict[A.Node, Val] = {}
+        out: dict[str, Column] = {}
+        either = lambda f, a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(f(a, b))
+        for i, (c, v) in enumerate(zip(calls, values)):
+            x = F.col(f"__x{i}")
+            both = lambda f: (f(x).over(early), f(x).over(peers))  # noqa: E731, B023
+            count = sum(both(F.count), F.lit(0)).cast("long")
+            if c.name == "count":
+                total, kind = count, LONG
+            elif c.name in ("min", "max"):
+                total, kind = (F.least if c.name == "min" else F.greatest)(*both(F.min if c.name == "min" else F.max)), v.t
+            elif c.name == "sum" and v.is_int:
+                total, kind = either(F.try_add, *both(F.try_sum)), LONG
+            else:
+                total, kind = either(lambda a, b: a + b, *both(F.sum)), DOUBLE
+                total = total / F.when(count > 0, count) if c.name == "avg" else total
+            out[f"__a{i}"] = total
+            above[c] = Val(F.col(f"__a{i}"), kind, c.name != "count")
+        order = F.struct("__ts", "__seq")
+        found = rows.withColumns(out).where("__on and __b = __home")
+        found = found.select(order.alias("__w"), (F.col("__ts") - size).alias("__ws"), F.col("__ts").alias("__we"), order.alias("__seq"), *out)
+        named = [(sel.alias, {"__ws": "__ws", "__we": "__we"})]
+        if sel.having is not None:
+            found = found.where(self._exprs(found, named, above).predicate(sel.having))
+        return self._project(sel, found, named, above)
+
     # -- output
 
     def _project(self, sel: A.Select, df: DataFrame, sources, known) -> DataFrame:

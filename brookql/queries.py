@@ -182,6 +182,8 @@ q("select_star", "SELECT * FROM labels", "SELECT * FROM labels")
 q("select_qualified_star", "SELECT c.*, o.o_orderkey FROM orders AS o INNER JOIN customer AS c ON o.o_custkey = c.c_custkey", "SELECT c.*, o.o_orderkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
 q("predicates_not_like", "SELECT event_id, event_type NOT LIKE '%ic%' AS a, NOT (event_type LIKE 'v_ew') AS b, value BETWEEN user_id AND event_id AS c, event_type NOT IN ('view', 'click') AS d, value > 50 OR user_id < 10 AND NOT (event_type = 'view') AS e, value IS NOT NULL AS f FROM events", "SELECT event_id, event_type NOT LIKE '%ic%' AS a, event_type NOT LIKE 'v_ew' AS b, value BETWEEN user_id AND event_id AS c, event_type NOT IN ('view', 'click') AS d, value > 50 OR user_id < 10 AND NOT (event_type = 'view') AS e, value IS NOT NULL AS f FROM events")
 q("star_beside_aggregates", "SELECT *, count(*) AS c FROM labels GROUP BY quality, TUMBLINGWINDOW(dd, 1)", "SELECT arg_min(doc_id, doc_id) AS doc_id, quality, arg_min(toxic, doc_id) AS toxic, count(*) AS c FROM labels GROUP BY quality")
+q("sliding_extremes", "SELECT window_start() AS ws, count(*) AS c, min(value) AS n, max(event_type) AS m, round(avg(user_id), 6) AS a FROM events WHERE value > 5 GROUP BY SLIDINGWINDOW(mi, 45) FILTER (WHERE user_id > 10) OVER (WHEN event_type = 'purchase') HAVING count(*) > 2", f"WITH s AS (SELECT * FROM {EV} WHERE value > 5 AND user_id > 10) SELECT a.t - {45 * MINUTE} AS ws, count(*) AS c, min(b.value) AS n, max(b.event_type) AS m, round(avg(b.user_id), 6) AS a FROM s a JOIN s b ON b.t BETWEEN a.t - {45 * MINUTE} AND a.t AND (b.t, b.event_id) <= (a.t, a.event_id) WHERE a.event_type = 'purchase' GROUP BY a.t, a.event_id HAVING count(*) > 2")
+q("analytic_lag_when_offsets", "SELECT event_id, lag(event_id, 3, -1) OVER (PARTITION BY user_id WHEN value > 40) AS a, lag(value, 2) OVER (PARTITION BY event_type WHEN user_id > 20) AS b FROM events", f"SELECT e.event_id, coalesce((SELECT x.event_id FROM {EV} x WHERE x.user_id = e.user_id AND x.value > 40 AND (x.t, x.event_id) < (e.t, e.event_id) ORDER BY x.t DESC, x.event_id DESC LIMIT 1 OFFSET 2), -1) AS a, (SELECT x.value FROM {EV} x WHERE x.event_type = e.event_type AND x.user_id > 20 AND (x.t, x.event_id) < (e.t, e.event_id) ORDER BY x.t DESC, x.event_id DESC LIMIT 1 OFFSET 1) AS b FROM {EV} e")
 q("percentile_cont", "SELECT event_type, percentile_cont(value, 0.25) AS p, percentile_disc(value, 0.75) AS d, median(value) AS m FROM events GROUP BY event_type, TUMBLINGWINDOW(dd, 2)", f"SELECT event_type, quantile_cont(value, 0.25) AS p, quantile_disc(value, 0.75) AS d, median(value) AS m FROM {EV} GROUP BY event_type, t - t % {48 * HOUR}")
 q("lookup_without_condition", "SELECT e.event_id, t.s_name FROM events AS e INNER JOIN supplier AS t", "SELECT e.event_id, (SELECT s_name FROM supplier ORDER BY s_suppkey LIMIT 1) AS s_name FROM events e")
 q("lookup_theta", "SELECT e.event_id, t.s_suppkey FROM events AS e INNER JOIN supplier AS t ON t.s_suppkey > e.user_id AND t.s_acctbal > 0", "SELECT event_id, s_suppkey FROM (SELECT event_id, (SELECT min(s_suppkey) FROM supplier WHERE s_suppkey > user_id AND s_acctbal > 0) AS s_suppkey FROM events) WHERE s_suppkey IS NOT NULL")
@@ -216,17 +218,12 @@ q("retained_table", "SELECT e.event_id, t.s_name FROM events AS e INNER JOIN las
 def _declared(e: Engine) -> None:
     """Sources that a statement needs beside the plain tables."""
     read = lambda t: e.spark.read.parquet(f"{e.catalog.sources.folder}/{t}.parquet")
-    put = e.catalog.sources
-    from brookql.plans.catalog import Source
-    from brookql.plans.parser import parse_definition
-
-    d = parse_definition("CREATE STREAM declared (event_id TEXT, value BIGINT, user_id FLOAT, flag TEXT DEFAULT 'none')")
-    put["declared"] = Source("declared", read("events").select("event_id", "value", "user_id"), d.columns, {}, False, ("event_id",))
-    put["last_order"] = Source("last_order", read("orders"), [], {"KEY": "o_custkey"}, True, ("o_orderkey",))
-    put["last_suppliers"] = Source("last_suppliers", read("supplier"), [], {"RETAIN_SIZE": "5"}, True, ("s_suppkey",))
-    put["last_value"] = Source("last_value", read("events").selectExpr("event_id", "-value as value"), [], {}, True, ("event_id",))
-    put["coarse"] = Source("coarse", read("events").withColumn("ts", F.expr("if(event_id % 5 > 0, date_trunc('hour', ts), null)")), [], {"TIMESTAMP": "ts"}, False, ("event_id",))
-    put["clicks_at"] = Source("clicks_at", read("events").where("event_type = 'click'"), [], {"TIMESTAMP": "ts"}, False, ("event_id",))
+    e.define("CREATE STREAM declared (event_id TEXT, value BIGINT, user_id FLOAT, flag TEXT DEFAULT 'none')", read("events").select("event_id", "value", "user_id"), order=("event_id",))
+    e.define('CREATE TABLE last_order () WITH (KEY="o_custkey")', read("orders"), order=("o_orderkey",))
+    e.define('CREATE TABLE last_suppliers () WITH (RETAIN_SIZE="5")', read("supplier"), order=("s_suppkey",))
+    e.define("CREATE TABLE last_value ()", read("events").selectExpr("event_id", "-value as value"), order=("event_id",))
+    e.define('CREATE STREAM coarse () WITH (TIMESTAMP="ts")', read("events").withColumn("ts", F.expr("if(event_id % 5 > 0, date_trunc('hour', ts), null)")), order=("event_id",))
+    e.define('CREATE STREAM clicks_at () WITH (TIMESTAMP="ts")', read("events").where("event_type = 'click'"), order=("event_id",))
 
 
 DECLARED = ("declared", "last_order", "last_suppliers", "last_value", "coarse", "clicks_at")

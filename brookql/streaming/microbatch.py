@@ -43,6 +43,8 @@ class Closing(Planner):
     keep: of a source's rows, those that windows still open after this batch need.
     """
 
+    frames = False
+
     def __init__(self, catalog: Catalog, options: dict, udfs: dict, before: int | None, now: int) -> None:
         super().__init__(catalog, options, udfs)
         self.before, self.now = before, now
