@@ -67,30 +67,36 @@ def block_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * BLOCKS_PER_PARTITION
 
 
-def blocks(df: DataFrame, key: str, n: int, columns: list[str], text: str = "text") -> DataFrame:
+def blocks(df: DataFrame, key: str, n: int, columns: list[str], text: str = "text", spread: bool = False) -> DataFrame:
     """df's key and columns with `part`, a range of the key: equal keys share a part.
 
-    A null key sorts after all others.  Parts hold about equal numbers of bytes of
+    A null key sorts after all others; rows without a key share the last part, or with
+    `spread` are dealt by their text over parts of their own, as many as they have bytes
+    for.  Parts hold about equal numbers of bytes of
     text: the texts' bytes are summed over `FINE` times as many ranges of equal numbers
     of rows, and neighbours are put together.  The driver holds those ranges' bounds
     and sums, 16 bytes for each; the plan holds the parts' bounds as one array.
     """
     bounds: list[int] = []
+    unkeyed = 0
     if n > 1:
         probs = [i / (FINE * n) for i in range(1, FINE * n)]
         fine = df.select(F.percentile_approx(key, probs, min(20 * FINE * n, 1_000_000))).head()[0]
         bounds = sorted(set(fine or []))
-        size = [0] * (len(bounds) + 1)
-        if bounds:
-            for r in df.where(F.col(key).isNotNull()).groupBy(_below(bounds, F.col(key)).alias("r")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64).alias("b")).collect():
-                size[r.r] = r.b
-        ends = np.cumsum(size)
+        # the last of the sizes is that of rows without a key
+        size = [0] * (len(bounds) + 2)
+        place = F.coalesce(_below(bounds, F.col(key)), F.lit(len(bounds) + 1)) if bounds else F.when(F.col(key).isNull(), 1).otherwise(0)
+        for r in df.groupBy(place.alias("r")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64).alias("b")).collect():
+            size[r.r] = r.b
+        unkeyed = round(n * size[-1] / max(1, sum(size)))
+        ends = np.cumsum(size[:-1])
         # the last fine bound below each n-th of the bytes
         at = np.searchsorted(ends, [ends[-1] * i / n for i in range(1, n)], side="left")
         bounds = sorted({bounds[min(a, len(bounds) - 1)] for a in at.tolist()}) if bounds else []
-    part = F.lit(0)
-    if bounds:
-        part = F.when(F.col(key).isNull(), F.lit(len(bounds))).otherwise(_below(bounds, F.col(key)))
+    last = F.lit(len(bounds))
+    if spread and unkeyed > 1:
+        last = len(bounds) + 1 + F.pmod(F.xxhash64(text), F.lit(unkeyed))
+    part = F.when(F.col(key).isNull(), last).otherwise(_below(bounds, F.col(key)) if bounds else F.lit(0))
     return df.select(F.col(key), *columns, part.cast("int").alias("part"))
 
 
@@ -98,7 +104,8 @@ def _below(bounds: list[int], key):
     """How many of the sorted bounds are below the key: a binary search within the plan."""
     table, n = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>"), len(bounds)
     steps = F.lit([1 << i for i in reversed(range(n.bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(table, at + step - 1) < key), at + step).otherwise(at))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(table, at + step - 1) < key), at + step).otherwise(at))
+    return F.when(key.isNotNull(), found)
 
 
 def without(df: DataFrame, name: str):

@@ -171,7 +171,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100) -> None:
         n = ex.block_count(docs.sparkSession)
         self.key = key
-        dealt = ex.grouped(ex.blocks(docs, key, n, [text], text), n)
+        dealt = ex.grouped(ex.blocks(docs, key, n, [text], text, True), n)
         spoken = dealt.groupBy("part").applyInArrow(lean(_announcer(text, size, n)), ex.BLOB_SCHEMA)
         told = spoken.groupBy("bucket").applyInArrow(lean(ex.answer_totals), ex.ANSWER_SCHEMA)
         settled = dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(lean(_settler(key, text, size, num, den)), f"`{key}` long, n_shingles long, n_unique long, class binary, toks binary")

@@ -22,7 +22,7 @@ start in a document with a smaller id.
 Defined results: a null or empty text has no words and loses nothing; a text with
 fewer words than a window loses nothing; documents with equal ids are not smaller
 than one another, so neither loses words to the other; documents without an id
-come last, in one block.  Repeated rows are treated one by one.  An empty table gives
+come last.  Repeated rows are treated one by one.  An empty table gives
 an empty table.  Texts of any length are parsed whole; memory is bounded by one block's
 texts or the longest text.  `remove_repeats` keeps other columns, whatever their names.
 """
@@ -134,10 +134,11 @@ def _parser(key: str, text: str, window: int, emit):
             if len(at):
                 _, i = ex.member(h, near_h)
                 doc, place = near_doc[i], near_place[i]
-                hit = doc < ids[lo:hi][w.row_of[at]]
+                own = ids[lo:hi][w.row_of[at]]
                 far, i = ex.member(h, far_h)
                 doc[far], place[far] = far_doc[i[far]], far_place[i[far]]
-                hit |= far
+                # documents without an id are spread over blocks, and none is before another
+                hit = doc < own
             out.append(emit(docs, lo, hi, w, Factors(w, at[hit], doc[hit], place[hit], window)))
         return pa.concat_tables(out)
 
@@ -199,7 +200,7 @@ class Spans:
 def parse(docs: DataFrame, emit, key: str = "doc_id", text: str = "text", columns: list[str] | None = None, window: int = WINDOW) -> DataFrame:
     """Parse every document against all with smaller ids; `emit` makes the rows."""
     n = ex.block_count(docs.sparkSession)
-    dealt = ex.grouped(ex.blocks(docs, key, n, columns or [text], text), n)
+    dealt = ex.grouped(ex.blocks(docs, key, n, columns or [text], text, True), n)
     spoken = dealt.groupBy("part").applyInArrow(lean(_announcer(text, window, n)), ex.BLOB_SCHEMA)
     asked = spoken.groupBy("bucket").applyInArrow(lean(ex.ask_first), "part int, bucket int, blob binary")
     found = dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(lean(_places(key, text, window)), "bucket int, blob binary")

@@ -129,6 +129,19 @@ def test_factors_end_where_their_reference_does(spark):
     assert all(words[i][f:e] == words[r][q : q + e - f] for i, f, e, r, q in got)
 
 
+def test_rows_without_ids_are_spread(spark):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(30)]
+    text = lambda: " ".join([f"w{rng.randrange(10**6)}" for _ in range(20)] + rng.choice([passage, passage[5:25], ["x"] * 3]) + [f"v{rng.randrange(10**6)}" for _ in range(9)])
+    rows = [(None, text()) for _ in range(120)] + [(i, text()) for i in range(60)] + [(None, " ".join(f"q{i}" for i in range(20)))] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = exchange.blocks(docs, "doc_id", 8, ["text"], spread=True)
+    assert dealt.where("doc_id is null").select("part").distinct().count() > 2
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digest(docs).collect())
+    assert got == brute_windows(rows)
+    assert all(r.component_id is None for r in jaccard_join.JaccardJoin(docs).documents().where("doc_id is null").collect())
+
+
 def test_blobs_carry_places_and_large_counts():
     h = np.array([5, 9, 2**63], np.uint64)
     assert exchange.unpack(exchange.pack(h, np.array([1, 300, 70_000])))[1].tolist() == [1, 300, 70_000]
