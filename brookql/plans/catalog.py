@@ -141,7 +141,8 @@ class Source:
 
     def _seq(self, df: DataFrame):
         if not self.order:
-            return F.monotonically_increasing_id()
+            # a stream's rows of equal time have no order unless one is given
+            return F.lit(0).cast("long") if df.isStreaming else F.monotonically_increasing_id()
         if len(self.order) == 1 and isinstance(df.schema[self.order[0]].dataType, T.IntegralType):
             return quoted(self.order[0]).cast("long")
         return F.struct(*[quoted(c) for c in self.order])
@@ -154,8 +155,8 @@ class Catalog:
         self.spark = spark
         self.sources: dict[str, Source] = {}
 
-    def define(self, ddl: str, df: DataFrame | None = None, order: tuple[str, ...] = ()) -> Source:
-        """CREATE STREAM or CREATE TABLE; without df the definition's own source is opened."""
+    def define(self, ddl: str, df: DataFrame | None = None, order: tuple[str, ...] = (), stream: bool = False) -> Source:
+        """CREATE STREAM or CREATE TABLE; without df the definition's own source is opened, with stream as a streaming one."""
         d = parse_definition(ddl)
         if d.name in self.sources:
             raise CompileError(f"{d.name} exists already")
@@ -164,7 +165,7 @@ class Catalog:
         if df is None:
             from brookql.sources.readers import open_source
 
-            df = open_source(self.spark, d)
+            df = open_source(self.spark, d, stream)
         self.sources[d.name] = Source(d.name, df, d.columns, d.options, d.table, order)
         return self.sources[d.name]
 

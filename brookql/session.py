@@ -22,8 +22,8 @@ class Engine:
         self.catalog = Catalog(spark)
         self.udfs: dict = {}
 
-    def define(self, ddl: str, df: DataFrame | None = None, order: tuple[str, ...] = ()) -> Source:
-        return self.catalog.define(ddl, df, order)
+    def define(self, ddl: str, df: DataFrame | None = None, order: tuple[str, ...] = (), stream: bool = False) -> Source:
+        return self.catalog.define(ddl, df, order, stream)
 
     def register(self, name: str, df: DataFrame, order: tuple[str, ...] = (), table: bool = False, **options: str) -> Source:
         return self.catalog.register(name, df, order, table, **options)

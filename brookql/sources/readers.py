@@ -1,9 +1,11 @@
 """Sources by TYPE, and payload formats.
 
 File, memory, simulator, SQL and landing-directory sources are read by Spark itself.
-Broker sources need a client library or connector jar; `kafka` uses Spark's own
-connector where its jar is present, and other brokers' messages are read from the
-landing directory their bridge writes (`LANDING`).
+`kafka` uses Spark's own connector where its jar is present. Opened as streams, MQTT,
+Redis, WebSocket, ZeroMQ and HTTP sources are landed by a bridge of this library
+(bridge.py), in the folder LANDED or one in spark.checkpoint.dir; read in batch, they are
+what has landed so far. Other brokers' messages are read from the directory that a bridge
+of their own writes as text (`LANDING`).
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import types as T
 
 from brookql.functions.values import CompileError
 from brookql.plans import ast as A
+from brookql.sources import bridge
+from brookql.sources.brokers import LIVE
 from brookql.sources.protobuf import from_protobuf
 
 BROKERS = ("mqtt", "edgex", "rabbitmq", "amqp", "redissub", "zmq", "zeromq", "websocket", "httppush", "httppull", "modbus", "opcua", "otlp")
@@ -30,6 +34,14 @@ def payload_schema(d: A.Definition) -> T.StructType | None:
     return T.StructType([T.StructField(c.name, t if isinstance(t := spark_type(c.type), T.ArrayType | T.StructType) else T.StringType()) for c in d.columns])
 
 
+def _each(rows: DataFrame, array: str, rest: list[str]) -> DataFrame:
+    """A row for each struct in the array, and its place after the payload's own where that has one."""
+    if "__seq" not in rest:
+        return rows.select(F.explode(array).alias("__r"), *rest)
+    others = [c for c in rest if c != "__seq"]
+    return rows.select(F.posexplode(array).alias("__at", "__r"), *rest).select("__r", *others, F.struct("__seq", "__at").alias("__seq"))
+
+
 def decode(raw: DataFrame, d: A.Definition, column: str = "value") -> DataFrame:
     """Payload texts in `column` to rows, by the definition's FORMAT."""
     how = d.options.get("FORMAT", "JSON").upper()
@@ -41,7 +53,7 @@ def decode(raw: DataFrame, d: A.Definition, column: str = "value") -> DataFrame:
         # a payload is an object or an array of objects
         text = F.col(column).cast("string")
         rows = raw.withColumn("__p", F.from_json(F.when(F.trim(text).startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), T.ArrayType(schema)))
-        return rows.select(F.inline("__p"), *rest)
+        return _each(rows, "__p", rest).where("__r is not null").select("__r.*", *rest)
     if how == "DELIMITED":
         sep = d.options.get("DELIMITER", ",")
         parts = F.split(F.col(column).cast("string"), "\\Q" + sep + "\\E")
@@ -53,7 +65,8 @@ def decode(raw: DataFrame, d: A.Definition, column: str = "value") -> DataFrame:
     if how == "EDGEX":
         reading = "struct<resourceName:string,valueType:string,value:string,origin:bigint>"
         rows = raw.withColumn("__e", F.from_json(F.col(column).cast("string"), f"struct<event:struct<deviceName:string,profileName:string,origin:bigint,readings:array<{reading}>>>"))
-        return rows.select(F.col("__e.event.deviceName").alias("deviceName"), F.explode("__e.event.readings").alias("r"), *rest).select("deviceName", "r.*", *rest)
+        rows = rows.select(F.col("__e.event.deviceName").alias("deviceName"), F.col("__e.event.readings").alias("__p"), *rest)
+        return _each(rows, "__p", ["deviceName", *rest]).select("deviceName", "__r.*", *rest)
     if how == "PROTOBUF":
         # the payload is base64 where it comes as text; SCHEMA names a definition file's path, MESSAGE the message
         text = "\n".join(r.value for r in raw.sparkSession.read.text(d.options["SCHEMA"], wholetext=True).collect())
@@ -135,6 +148,22 @@ def _simulated(spark: SparkSession, d: A.Definition, rows: list, stream: bool) -
     return decode(ticks.select(turn.alias("value")), d)
 
 
+def _landed(spark: SparkSession, d: A.Definition, kind: str, stream: bool) -> DataFrame:
+    """A broker's messages in the folder of its bridge, which a stream starts."""
+    folder = d.options.get("LANDED")
+    if folder is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            raise CompileError(f"a {kind} source needs LANDED, LANDING or spark.checkpoint.dir")
+        folder = f"{shared.rstrip('/')}/landed/{d.name}"
+    if stream:
+        bridge.bridge(spark, kind, d.options, folder)
+    elif not bridge.exists(spark, folder):
+        raise CompileError(f"nothing has landed in {folder}")
+    raw = (spark.readStream if stream else spark.read).schema(bridge.SCHEMA).parquet(folder)
+    return decode(raw.select("value", F.col("place").alias("__seq")), d)
+
+
 def open_source(spark: SparkSession, d: A.Definition, stream: bool = False) -> DataFrame:
     """The definition's source as a DataFrame, or as a streaming one."""
     kind = d.options.get("TYPE", "mqtt").lower()
@@ -144,6 +173,8 @@ def open_source(spark: SparkSession, d: A.Definition, stream: bool = False) -> D
         return otlp(reader.text(d.options["LANDING"], wholetext=d.options.get("WHOLE", "false").lower() == "true"))
     if kind in BROKERS and "LANDING" in d.options:
         return decode(reader.text(d.options["LANDING"]), d)
+    if kind in LIVE:
+        return _landed(spark, d, kind, stream)
     if kind == "file":
         how = d.options.get("FILETYPE", d.options.get("FORMAT", "json")).lower()
         if how == "parquet":

@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brookql.functions.values import CompileError
+from brookql.sources.brokers import SINKS
 from brookql.sources.template import render
 
 LOG = logging.getLogger("brookql.sink")
 ENDPOINTS = ("mqtt", "websocket", "redis", "rabbitmq", "zmq", "edgex", "influx", "influx2", "tdengine", "iotdb", "modbus", "opcua", "otlp", "image")
 #: Delivery functions of endpoint sinks, f(iterator of payload texts, props); see register_endpoint.
-_DELIVER: dict = {}
+_DELIVER: dict = dict(SINKS)
 
 
 def register_endpoint(kind: str, deliver) -> None:
