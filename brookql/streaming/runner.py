@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import pickle
 from dataclasses import replace
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -105,25 +106,33 @@ class StreamPlanner(Planner):
             out.append((f"__v{len(known) + i}", kind))
         for (name, kind), c in zip(out, calls):
             known[c] = Val(F.col(name), kind)
-        rows = df.select(*[F.col(f"`{c}`") for c in df.columns], F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])).alias("__key"), *columns)
+        seq = df.schema["__seq"].dataType
+        place = ["__ts"] + ([f"__seq.`{f}`" for f in seq.names] if isinstance(seq, T.StructType) else ["__seq"])
+        order = [f"__o{i}" for i in range(len(place))]
+        rows = df.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(c).alias(o) for c, o in zip(place, order)], F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])).alias("__key"), *columns)
+        # whole numbers travel as decimals: as numbers of pandas, those beside nulls would become floats
+        exact = T.DecimalType(20, 0)
+        whole = [f.name for f in rows.schema if isinstance(f.dataType, T.LongType)]
+        rows = rows.withColumns({c: F.col(f"`{c}`").cast(exact) for c in whole})
         kept = list(df.columns)
-        schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in out]])
+        schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in kept], *[T.StructField(n, t) for n, t in out]])
 
         def step(key, batches, state):
             memory = pickle.loads(state.get[0]) if state.exists else [None] * len(folds)
             pdf = pd.concat(list(batches), ignore_index=True)
-            pdf = pdf.sort_values(["__ts", "__seq"], kind="stable", ignore_index=True)
+            pdf = pdf.sort_values(order, kind="stable", ignore_index=True, na_position="first")
             for i, ((name, literals, n), (column, _)) in enumerate(zip(folds, out)):
-                inputs = [[None if x is None or x != x else x for x in pdf[f"__i{i}_{k}"].tolist()] for k in range(n)]
+                inputs = [[None if x is None or x != x else int(x) if isinstance(x, Decimal) and c in whole else x for x in pdf[c]] for c in (f"__i{i}_{k}" for k in range(n))]
                 result = []
                 for j, (on, ts) in enumerate(zip(pdf[f"__on{i}"], pdf["__ts"])):
-                    memory[i], value = fold(name, memory[i], [x[j] for x in inputs], bool(on), int(ts), literals)
+                    memory[i], value = fold(name, memory[i], [x[j] for x in inputs], bool(on), int(ts or 0), literals)
                     result.append(value)
                 pdf[column] = pd.Series(result, dtype=object)
             state.update((pickle.dumps(memory),))
             yield pdf[[*kept, *[n for n, _ in out]]]
 
-        return rows.groupBy("__key").applyInPandasWithState(step, schema, T.StructType([T.StructField("memory", T.BinaryType())]), "append", GroupStateTimeout.NoTimeout)
+        folded = rows.groupBy("__key").applyInPandasWithState(step, schema, T.StructType([T.StructField("memory", T.BinaryType())]), "append", GroupStateTimeout.NoTimeout)
+        return folded.withColumns({c: F.col(f"`{c}`").cast("long") for c in kept if c in whole})
 
 
 def _kind(name: str, args: list[Val]) -> T.DataType:

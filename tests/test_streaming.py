@@ -105,3 +105,15 @@ def test_failing_rows_of_a_stream_are_kept(spark, events, tmp_path):
     odd = frame.where("v % 2 = 1").count()
     assert spark.read.parquet(f"{tmp_path}/out").count() == odd
     assert spark.read.json(f"{tmp_path}/errors").where("error is not null and row is not null").count() == frame.count() - odd
+
+
+def test_state_keeps_whole_numbers_beside_nulls(spark, tmp_path):
+    big = 2**53 + 1
+    rows = spark.createDataFrame([(1, 1, big, None), (2, 2, None, "b"), (3, None, big, None), (4, 4, 2, "d")], "id long, ts long, v long, s string")
+    rows.write.parquet(f"{tmp_path}/in")
+    e = Engine(spark)
+    e.register("big", spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), order=("id", "s"))
+    query = start(e, "SELECT id, v, s, acc_sum(v) OVER () AS total, lag(v) OVER () AS before, row_number() OVER () AS n FROM big", f"{tmp_path}/ck", name="big_state")
+    query.awaitTermination(60)
+    # the row without a time comes first
+    assert sorted(map(tuple, spark.table("big_state").collect())) == [(1, big, None, 2 * big, big, 2), (2, None, "b", 2 * big, big, 3), (3, big, None, big, None, 1), (4, 2, "d", 2 * big + 2, None, 4)]
